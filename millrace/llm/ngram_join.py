@@ -30,6 +30,8 @@ from millrace.llm.components import components
 EXTRA = 2
 #: Bounds of one group: members and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
+#: So many rows of ids at most are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Entries of a task's word cache and of its memory of classes already sent.
 CACHE = 500_000
 
@@ -212,7 +214,9 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 
         return step
 
-    texts = key_texts(docs).join(member, "doc_id").select("class", "group", "text")
+    # the texts stay where they are if the members' ids (24 bytes each) are few enough to send; else both are shuffled
+    ids = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
+    texts = key_texts(docs).join(ids, "doc_id").select("class", "group", "text")
     sets = materialise(map_batches(texts, make_sets, "class long, group long, shingles binary"))
     first = sets.join(sets.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group"), "group")
     first = materialise(first.select("group", F.lit(0).alias("side"), "class", "shingles").groupBy("group").applyInArrow(_opened(percent), "u long, v long"))

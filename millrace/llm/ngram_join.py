@@ -248,3 +248,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     label = label.join(linked, "class", "left").select("class", F.coalesce("best", "least").alias("label"))
     out = classes.select("doc_id", "n_shingles", "class").join(label, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of docs, with all columns, but for near copies: of each component the document with the smallest doc_id stays.
+
+    Of rows that repeat both doc_id and text one stays. Rows without words or without doc_id all stay, and so does each
+    text of a doc_id that stays.
+    """
+    found = materialise(jaccard_components(docs, width, percent))
+    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    n = again.count()
+    if n == 0:
+        return kept
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

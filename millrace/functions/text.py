@@ -18,12 +18,15 @@ def standard_name(c: Column, aliases: dict[str, str] = CITY_ALIASES) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), name), name) if pairs else name
 
 
-@F.pandas_udf("string")
-def title_exact(s: pd.Series) -> pd.Series:
-    """Python's title(): a capital after every character that is no letter."""
+def _title(s: pd.Series) -> pd.Series:
     return s.str.strip().str.title()
 
 
+def title_exact(c: Column | str) -> Column:
+    """Python's title(): a capital after every character that is no letter. Runs in Python, in batches."""
+    return F.pandas_udf(_title, "string")(c)
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
     """All string columns without blanks at their ends."""
     return df.select(*(F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))

@@ -32,7 +32,9 @@ def longest_lines(lines: DataFrame, by: Sequence[str] = (), line: str = "line")
 def longest_report(lines: DataFrame, source: str) -> DataFrame:
     """The report's lines, (position, value): a head and one line for each longest line. An empty text has length 0."""
     found = longest_lines(lines)
-    head = lines.agg(F.coalesce(F.max(F.length("line")), F.lit(0)).alias("n")).select(F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("position"), F.concat(F.lit("Source: "), F.lit(source)).alias("value")), F.struct(F.lit(-1).cast("long"), F.concat(F.lit("Longest line length: "), F.col("n"))))).alias("r")).select("r.*")
+    n = F.concat(F.lit("Longest line length: "), F.coalesce(F.max(F.length("line")), F.lit(0)).cast("string"))
+    head = lines.agg(F.map_from_arrays(F.array(F.lit(-2), F.lit(-1)), F.array(F.lit(f"Source: {source}"), n)).alias("m"))
+    head = head.select(F.explode("m").alias("position", "value")).withColumn("position", F.col("position").cast("long"))
     return head.unionByName(found.select(F.col("line_no").alias("position"), F.format_string("Line %d: %s", "line_no", "line").alias("value"))).orderBy("position")
 
 

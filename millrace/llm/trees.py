@@ -24,8 +24,8 @@ class Node:
 
     def sql(self, names: list[str]) -> str:
         if self.feature < 0:
-            return f"{self.value:.6f}D"
-        return f"CASE WHEN {names[self.feature]} <= {self.cut:.6f}D THEN {self.low.sql(names)} ELSE {self.high.sql(names)} END"
+            return f"{self.value!r}D"
+        return f"CASE WHEN {names[self.feature]} <= {self.cut!r}D THEN {self.low.sql(names)} ELSE {self.high.sql(names)} END"
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.feature < 0:
@@ -79,7 +79,7 @@ class Ensemble:
 
     def sql(self, names: list[str]) -> str:
         total = " + ".join(f"({t.sql(names)})" for t in self.trees)
-        return f"1D / (1D + exp(-({self.base:.6f}D + {total})))" if self.boosted else f"({total}) / {len(self.trees)}D"
+        return f"1D / (1D + exp(-({self.base!r}D + {total})))" if self.boosted else f"({total}) / {len(self.trees)}D"
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, rate: float = 0.3, least: int = 8) -> Ensemble:
@@ -112,4 +112,4 @@ def threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.concatenate([score[order][1:] != score[order][:-1], [True]])
     good = np.flatnonzero((right >= precision) & last)
-    return float(score[order][good[-1]]) - 1e-3 if len(good) else 2.0  # the SQL form rounds leaf values
+    return float(score[order][good[-1]]) - 1e-3 if len(good) else 2.0  # the last bits of a sum depend on its order

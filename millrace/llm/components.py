@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps, each one join-free aggregation and one join.
+"""Connected components by alternating large-star and small-star steps, each an aggregation and a join.
 
 Labels never leave the cluster; each round is written to the shared folder, which cuts the lineage. The number
 of rounds is logarithmic in the longest path. A vertex with many neighbours is reduced by partial aggregation

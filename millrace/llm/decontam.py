@@ -36,8 +36,8 @@ UNITS = frozenset(
     "ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "ml cl dl l liter liters litre litres gallon gallons pint pints cup cups "
     "v w kw mw a j kj hz khz mhz ghz b kb mb gb tb pa kpa n c f k mph kmh kph "
-    "percent cent cents dollar dollars euro euros pence usd eur gbp apples oranges".split()
-) - {"apples", "oranges"}
+    "percent cent cents dollar dollars euro euros pence usd eur gbp".split()
+)
 _NUMBER, _UNIT, _TITLE, _STOP, _FLAGS = 1, 2, 4, 8, 15
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMERIC = re.compile(r"\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")

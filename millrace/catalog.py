@@ -83,11 +83,11 @@ def _aggregates(spark, sf, k=3):
 def _plain(df):
     total = F.col("total_transaction_amount").cast("double").alias("total_transaction_amount")
     keep = [c for c in df.columns if c not in ("total_transaction_amount", "average_transaction_amount")]
-    mean = [F.round(F.col("total_transaction_amount").cast("double") / F.col("transaction_count"), 4).alias("average_transaction_amount")] * ("average_transaction_amount" in df.columns)
+    mean = [(F.col("total_transaction_amount").cast("double") / F.col("transaction_count")).alias("average_transaction_amount")] * ("average_transaction_amount" in df.columns)
     return df.select(*keep, total, *mean)
 
 
-_CUSTOMER = f"SELECT customer_id, customer_name, count(transaction_amount) AS transaction_count, CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_transaction_amount, round(CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) / count(transaction_amount), 4) AS average_transaction_amount FROM ({_AGG}) GROUP BY customer_id, customer_name"
+_CUSTOMER = f"SELECT customer_id, customer_name, count(transaction_amount) AS transaction_count, CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_transaction_amount, CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) / count(transaction_amount) AS average_transaction_amount FROM ({_AGG}) GROUP BY customer_id, customer_name"
 
 
 @query(_CUSTOMER)

@@ -212,6 +212,10 @@ class Codec:
                 del self.cache[p]
         return out
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache, self.older = {}, {}
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -261,7 +265,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
 
         return step
 
-    return map_batches(key_texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return map_batches(key_texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, lambda: codec(path, pattern).forget())
 
 
 def bpe_decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,16 +40,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run make() once a task, and what it returns on every Arrow batch."""
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, and what one operator used would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """Run make() once a task, and what it returns on every Arrow batch; done() at the end, before memory is given back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
-                if out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = step(batch)
+                    if out.num_rows:
+                        yield out
+        finally:
+            step = batch = out = None
+            if done:
+                done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ costs the same at any size; prediction reads every whole text.
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, key_texts, map_batches
+from millrace.llm.common import fresh, give_back, key_texts, map_batches
 
 #: Training rows a language at most, and size of a profile.
 PER_LANGUAGE, DIM = 300, 1 << 13
@@ -169,9 +169,11 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
     With the default only texts of no language (null, or without letters) go.
     """
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        return texts.map(functools.partial(_passes, model, min_score))
+    @F.arrow_udf("boolean")
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([_passes(model, min_score, t.as_py()) for t in texts], pa.bool_())
+        give_back()
 
     kept = fresh(docs, "kept")
     return docs.withColumn(kept, passes(F.col("text").cast("string"))).filter(F.col(kept)).drop(kept)

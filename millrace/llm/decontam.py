@@ -15,13 +15,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, key_texts, map_batches
+from millrace.llm.common import fresh, give_back, key_texts, map_batches
 
 #: Words of a window, and words of an item that must be met (all of a shorter item).
 WINDOW, MIN_WORDS = 8, 13
@@ -228,12 +227,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     """The rows of docs, with all columns, whose text contains no item of benchmark (as contaminated() finds)."""
     for block in _blocks(benchmark, window, min_words):
 
-        @F.pandas_udf("boolean")
-        def clean(texts, block=block):
-            out = np.ones(len(texts), bool)
-            out[[i for i, _ in block.search(pa.array(texts, pa.string()), WordCodes())]] = False
-            return pd.Series(out)
+        def made(block=block):
+            cache = WordCodes()
+
+            @F.arrow_udf("boolean")
+            def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                for texts in batches:
+                    out = np.ones(len(texts), bool)
+                    out[[i for i, _ in block.search(texts, cache)]] = False
+                    yield pa.array(out)
+                give_back()
+
+            return clean
 
         kept = fresh(docs, "kept")
-        docs = docs.withColumn(kept, clean(F.col("text").cast("string"))).filter(F.col(kept)).drop(kept)
+        docs = docs.withColumn(kept, made()(F.col("text").cast("string"))).filter(F.col(kept)).drop(kept)
     return docs

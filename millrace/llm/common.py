@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bounds of an Arrow batch; the default of 10,000 rows is a lot of memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (local sessions) a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,8 +53,18 @@ def give_back() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ours; lower ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        # zero and less mean no bound; a size may have a unit, then it's the user's own
+        if now is None or now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Run make() once a task, and what it returns on every Arrow batch; done() at the end, before memory is given back."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, give_back, key_texts, map_batches
+from millrace.llm.common import bound_batches, fresh, give_back, key_texts, map_batches
 
 #: Words of a window, and words of an item that must be met (all of a shorter item).
 WINDOW, MIN_WORDS = 8, 13
@@ -225,6 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, with all columns, whose text contains no item of benchmark (as contaminated() finds)."""
+    bound_batches(docs.sparkSession)
     for block in _blocks(benchmark, window, min_words):
 
         def made(block=block):

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, give_back, key_texts, map_batches
+from millrace.llm.common import bound_batches, fresh, give_back, key_texts, map_batches
 
 #: Training rows a language at most, and size of a profile.
 PER_LANGUAGE, DIM = 300, 1 << 13
@@ -169,6 +169,8 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
     With the default only texts of no language (null, or without letters) go.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.arrow_udf("boolean")
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

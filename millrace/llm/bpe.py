@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import key_texts, map_batches
 
 #: Bounds of a task's cache of encoded pieces: entries, and characters of a piece.
-CACHE_PIECES, CACHE_CHARS = 250_000, 64
+CACHE_PIECES, CACHE_CHARS = 150_000, 64
 #: Characters encoded together.
 CHUNK = 1_000_000
 _NONE = sys.maxsize

@@ -9,7 +9,9 @@ two groups are opened only if their unions overlap, and inside an opened pair a
 members only if its overlap with the group's union of shingles reaches what a link needs. The comparison is exact
 on 64-bit shingle hashes (chance of any false link: about 1e-9 at a million documents).
 
-Groups are bounded in members and shingles, so a large group of copies is many blocks of work and not one task.
+Groups are bounded in members and shingles, so a large group of copies is many blocks of work and not one task. The
+blocks meet one of them first; two blocks are opened for each other only for classes that this leaves unconnected, so
+near copies of one text cost work in proportion to their number, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -202,7 +204,7 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     size = classes.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     lead = rows.groupBy("class").agg(F.min("low").alias("lead")).join(size, "class")
     count = lead.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    member = materialise(lead.join(count, "lead").select("class", "doc_id", F.xxhash64("lead", F.pmod(F.xxhash64("class"), "blocks")).alias("group")))
+    member = materialise(lead.join(count, "lead").select("class", "doc_id", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("class"), "blocks")).alias("group")))
 
     def make_sets():
         cache = WordHashes()
@@ -215,21 +217,34 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         return step
 
     # the texts stay where they are if the members' ids (24 bytes each) are few enough to send; else both are shuffled
-    ids = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
+    ids = member.select("class", "doc_id", "group")
+    ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids
     texts = key_texts(docs).join(ids, "doc_id").select("class", "group", "text")
     sets = materialise(map_batches(texts, make_sets, "class long, group long, shingles binary"))
     first = sets.join(sets.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group"), "group")
     first = materialise(first.select("group", F.lit(0).alias("side"), "class", "shingles").groupBy("group").applyInArrow(_opened(percent), "u long, v long"))
 
-    # the token-group matrix: each group's union of composite tokens
-    matrix = rows.select("token", "class").join(member.select("class", "group"), "class").select("token", "group").distinct()
-    spread = matrix.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most").select("token")
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        """The links between the groups of each row (g, h)."""
+        sides = [pairs.select("g", "h", F.lit(i).alias("side"), F.col(side).alias("group")) for i, side in enumerate("gh")]
+        opened = sides[0].unionByName(sides[1]).join(sets, "group").select("g", "h", "side", "class", "shingles")
+        return opened.groupBy("g", "h").applyInArrow(_opened(percent), "u long, v long")
+
+    # the blocks of one lead meet one of them first, which is linear in their number; what this connects isn't compared again
+    block = member.select("lead", "group").distinct()
+    hub = block.groupBy("lead").agg(F.min("group").alias("g"), F.count("*").alias("n")).filter("n > 1").select("lead", "g")
+    spokes = open_pairs(block.join(hub, "lead").filter("group <> g").select("g", F.col("group").alias("h")))
+    known = materialise(components(first.unionByName(spokes)))
+
+    # the token-group matrix: each group's union of composite tokens, by the components known so far (a class without links is its own)
+    place = member.join(known, member["class"] == known["vertex"], "left").select(member["class"], "group", F.coalesce("component", "class").alias("component"))
+    matrix = rows.select("token", "class").join(place, "class").select("token", "group", "component").distinct()
+    spread = matrix.groupBy("token").agg(*(f(c).alias(f"{n}_{c}") for c in ("group", "component") for n, f in (("least", F.min), ("most", F.max))))
+    spread = spread.filter("least_group <> most_group AND least_component <> most_component").select("token")
     matrix = matrix.join(spread, "token")
-    pairs = matrix.alias("a").join(matrix.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group"))).select(F.col("a.group").alias("g"), F.col("b.group").alias("h")).distinct()
-
-    sides = [pairs.select("g", "h", F.lit(i).alias("side"), F.col(side).alias("group")) for i, side in enumerate("gh")]
-    opened = sides[0].unionByName(sides[1]).join(sets, "group").select("g", "h", "side", "class", "shingles")
-    return first.unionByName(opened.groupBy("g", "h").applyInArrow(_opened(percent), "u long, v long"))
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.component") != F.col("b.component"))
+    pairs = matrix.alias("a").join(matrix.alias("b"), meet).select(F.col("a.group").alias("g"), F.col("b.group").alias("h")).distinct()
+    return known.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(open_pairs(pairs))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

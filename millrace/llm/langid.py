@@ -23,6 +23,8 @@ from millrace.llm.common import bound_batches, fresh, give_back, key_texts, map_
 
 #: Training rows a language at most, and size of a profile.
 PER_LANGUAGE, DIM = 300, 1 << 13
+#: The training rows of a language are chosen from the rows whose ids have the least hashes, about so many times PER_LANGUAGE.
+POOL = 4
 #: At most so many languages are learned, those with the most rows; it bounds what the driver gathers.
 MAX_LANGUAGES = 100
 #: Families of ISO 639-1 codes; a code that isn't listed is a family of its own.
@@ -114,12 +116,15 @@ def held_out(key):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit to rows of docs (doc_id, text, lang) that have a lang, an id and letters and aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], [], np.zeros((0, DIM + 1)), [])
-    # ids only: each task keeps its first ones of a language, so the ranking is over few rows
+    # ids only, and of these the ones with the least hashes: some POOL times per_language a language, however many rows there are
+    least = {k: min(2**63 - 1, int(2**64 * POOL * per_language / n) - 2**63) for k, n in counts.items()}
+    in_pool = F.xxhash64("doc_id") <= F.element_at(F.create_map(*(c for k, v in least.items() for c in (F.lit(k), F.lit(v).cast("long")))), F.col("lang"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.filter(F.col("lang").isin(languages)).withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
+    chosen = rows.filter(F.col("lang").isin(languages)).filter(in_pool).withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "rank", "text")
 
     def make():

@@ -181,6 +181,10 @@ def _links(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] | No
                 yield x, y
 
 
+def _first(item: tuple) -> int:
+    return item[0]
+
+
 def _opened(percent: int):
     """For applyInArrow: the links of one group, or of one opened pair of groups (rows marked by side)."""
 
@@ -188,7 +192,7 @@ def _opened(percent: int):
         sides: tuple[dict, dict] = ({}, {})
         for side, c, s in zip(rows["side"].to_pylist(), rows["class"].to_pylist(), rows["shingles"], strict=True):
             sides[side].setdefault(c, np.frombuffer(s.as_buffer(), np.uint64))
-        out = list(_links([*sides[0].items()], [*sides[1].items()] or None, percent)) if sides[0] else []
+        out = list(_links(sorted(sides[0].items(), key=_first), sorted(sides[1].items(), key=_first) or None, percent)) if sides[0] else []
         return pa.table({"u": pa.array([e[0] for e in out], pa.int64()), "v": pa.array([e[1] for e in out], pa.int64())})
 
     return run
@@ -230,21 +234,23 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         opened = sides[0].unionByName(sides[1]).join(sets, "group").select("g", "h", "side", "class", "shingles")
         return opened.groupBy("g", "h").applyInArrow(_opened(percent), "u long, v long")
 
-    # the blocks of one lead meet one of them first, which is linear in their number; what this connects isn't compared again
+    # the blocks of one lead meet the one with its least class first, which is linear in their number; classes with the same
+    # least partner are connected and needn't be compared again
     block = member.select("lead", "group").distinct()
-    hub = block.groupBy("lead").agg(F.min("group").alias("g"), F.count("*").alias("n")).filter("n > 1").select("lead", "g")
+    hub = member.groupBy("lead").agg(F.min_by("group", "class").alias("g"), F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most").select("lead", "g")
     spokes = open_pairs(block.join(hub, "lead").filter("group <> g").select("g", F.col("group").alias("h")))
-    known = materialise(components(first.unionByName(spokes)))
+    known = materialise(first.unionByName(spokes))
+    partner = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
 
-    # the token-group matrix: each group's union of composite tokens, by the components known so far (a class without links is its own)
-    place = member.join(known, member["class"] == known["vertex"], "left").select(member["class"], "group", F.coalesce("component", "class").alias("component"))
+    # the token-group matrix: each group's union of composite tokens, by what is connected so far
+    place = member.join(partner, member["class"] == partner["u"], "left").select(member["class"], "group", F.least("class", "v").alias("component"))
     matrix = rows.select("token", "class").join(place, "class").select("token", "group", "component").distinct()
     spread = matrix.groupBy("token").agg(*(f(c).alias(f"{n}_{c}") for c in ("group", "component") for n, f in (("least", F.min), ("most", F.max))))
     spread = spread.filter("least_group <> most_group AND least_component <> most_component").select("token")
     matrix = matrix.join(spread, "token")
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.component") != F.col("b.component"))
     pairs = matrix.alias("a").join(matrix.alias("b"), meet).select(F.col("a.group").alias("g"), F.col("b.group").alias("h")).distinct()
-    return known.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(open_pairs(pairs))
+    return known.unionByName(open_pairs(pairs))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import key_texts, map_batches
 
 #: Bounds of a task's cache of encoded pieces: entries, and characters of a piece.
-CACHE_PIECES, CACHE_CHARS = 150_000, 64
-#: Characters encoded together.
-CHUNK = 1_000_000
+CACHE_PIECES, CACHE_CHARS = 80_000, 64
+#: Characters encoded together, and pieces whose trees are rows of one matrix.
+CHUNK, ROWS = 500_000, 8_192
 _NONE = sys.maxsize
 
 
@@ -146,8 +146,10 @@ class Forest:
             else:
                 classes.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
         for size, which in classes.items():
-            for i, packed in zip(which, self._rows([pieces[i] for i in which], size), strict=True):
-                out[i] = packed
+            for at in range(0, len(which), ROWS):
+                some = which[at : at + ROWS]
+                for i, packed in zip(some, self._rows([pieces[i] for i in some], size), strict=True):
+                    out[i] = packed
         return out
 
     def _rows(self, pieces: list[bytes], size: int) -> list[bytes]:

@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Bounds of an Arrow batch; the default of 10,000 rows is a lot of memory where texts are long.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -3,9 +3,9 @@
 Words become a template: numbers, units after numbers and names (title-case words inside a sentence) turn into typed
 placeholders, other words into lower case without outer marks. Windows of the benchmark's templates are hashed, and the
 documents' windows are joined with them by hash. Where windows of an item meet those of a document, words are compared
-one by one and the slots must be consistent: what stands for one value of the item is one value in the document, and
-different values stay different. A question with other numbers or names is caught; a text that only has its
-shape is not.
+one by one. What is word for word the item's own counts as it is; elsewhere the slots must be consistent: what stands
+for one value of the item is one value in the document, and different values stay different. A question with other
+numbers or names is caught; a text that only has its shape is not.
 """
 
 from __future__ import annotations
@@ -163,19 +163,22 @@ class Benchmark:
         if not text:
             return []
         codes, value = template(text, cache)
-        hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))  # item -> shift -> places in the item
+        # item -> shift -> places in the item: word for word, and by the template
+        hits: dict[int, dict[int, tuple[set[int], set[int]]]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
         for width, known in self.known.items():
             h = windows(codes, width)
             at = np.flatnonzero(self.filter[width][h >> np.uint64(44)])
             for i, key in zip(at.tolist(), h[at].tolist(), strict=True):
                 for k, j in self.places[width].get(key, ()):
-                    hits[k][i - j].update(range(j, j + width))
+                    same = np.array_equal(self.items[k][2][j : j + width], value[i : i + width])
+                    hits[k][i - j][not same].update(range(j, j + width))
         out = []
         for k, shifts in hits.items():
             item_id, own, own_value = self.items[k]
             met, alike = set(), True
-            for shift, covered in sorted(shifts.items()):
-                places = np.array(sorted(covered))
+            for shift, (exact, covered) in sorted(shifts.items()):
+                met |= exact
+                places = np.array(sorted(covered - exact), int)
                 places = places[own[places] == codes[places + shift]]
                 slot = places[_slots(own[places])]
                 pairs = set(zip(own_value[slot].tolist(), value[slot + shift].tolist(), strict=True))
@@ -198,8 +201,8 @@ def _blocks(benchmark: DataFrame, window: int, min_words: int):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words, item_words, alike) for each item of benchmark (item_id, text) that a text of docs
-    (doc_id, text) contains: min_words of its words at least, or all but one of a shorter item's, with consistent slots.
-    alike: the slots' values are the item's own.
+    (doc_id, text) contains: min_words of its words at least, or all but one of a shorter item's, word for word or with
+    consistent slots. alike: the slots' values are the item's own.
 
     Null and empty texts contain nothing; items of under three words aren't looked for; a null id stays null. Repeated
     documents give repeated rows, repeated items (same id and text) don't. No rows on either side give no rows.

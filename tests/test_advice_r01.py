@@ -1,6 +1,7 @@
 """What the first round's review found missing."""
 
 import corpus_pipeline
+from millrace.llm import decontam
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components
 
@@ -11,3 +12,17 @@ def test_near_copies_are_those_by_five_words(spark):
     rows += [(10 + i, " ".join("y" if j % 25 == 7 and j < 25 * i else w for j, w in enumerate(words[::-1]))) for i in range(9)]
     got = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()}
     assert got == {i for i, _, c in brute_components(rows, 5, 80) if i == c} and 2 not in got
+
+
+def hits(items, text):
+    return {m[0]: m[1:] for m in decontam.Benchmark(list(enumerate(items)), decontam.WINDOW, decontam.MIN_WORDS).matches(text, decontam.WordCodes())}
+
+
+def test_a_changed_value_hides_no_verbatim_passage():
+    item = "A train leaves the old station at 40 km from Boston and travels with Maria for 3 hours until it meets a bus at 40 km again"
+    assert hits([item], f"Before it. {item} And after.") == {0: (len(item.split()), len(item.split()), True)}
+    assert hits([item], item.replace("40", "55", 1))[0][2] is False
+    both = item.replace("40", "55", 1).replace(" 3 ", " 55 ")  # two values become one, 13 words stay as they are
+    assert 0 in hits([item + " and then waits there for the next one to come"], both + " and then waits there for the next one to come")
+    shape = "A train leaves the old station at 55 km from Rome and travels with Rome for 55 hours until it meets a bus at 7 km again"
+    assert hits([item], shape) == {}

@@ -5,7 +5,8 @@ placeholders, other words into lower case without outer marks. Windows of the be
 documents' windows are joined with them by hash. Where windows of an item meet those of a document, words are compared
 one by one. What is word for word the item's own counts as it is; elsewhere the slots must be consistent: what stands
 for one value of the item is one value in the document, and different values stay different. A question with other
-numbers or names is caught; a text that only has its shape is not.
+numbers or names is caught; a text that only has its shape is not. Windows of mostly placeholders have too little shape
+for this and are looked up by their values, word for word.
 """
 
 from __future__ import annotations
@@ -109,15 +110,19 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], window: int, min_words: int):
         self.min_words, cache = min_words, WordCodes()
         self.items = [(item_id, *template(text, cache)) for item_id, text in items]
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, codes, _) in enumerate(self.items):
+        # (width, whether values are kept) -> hash -> places
+        places: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, codes, value) in enumerate(self.items):
             width = min(window, len(codes))
             if width < 3:
                 continue  # fewer words mark nothing
             plain = np.concatenate([[0], np.cumsum(~_slots(codes))])
-            for j, h in enumerate(windows(codes, width).tolist()):
-                if 2 * (plain[j + width] - plain[j]) >= width:  # half of a window at least is words
-                    places[width][h].append((k, j))
+            for j, (h, exact) in enumerate(zip(windows(codes, width).tolist(), windows(value, width).tolist(), strict=True)):
+                shaped = 2 * (plain[j + width] - plain[j]) >= width  # half of a window at least is words
+                if shaped:
+                    places[width, False][h].append((k, j))
+                if not shaped or j == 0:  # an item's first word may have another code inside a document's sentence
+                    places[width, True][exact].append((k, j))
         self.places = {w: dict(p) for w, p in places.items()}
         self.known, self.filter = {}, {}
         for w, p in self.places.items():
@@ -136,11 +141,11 @@ class Benchmark:
         raw = np.array(codes, np.uint64)
         kept = np.cumsum(raw != 0)
         ends = np.array([0, *kept[np.array(starts[1:], int) - 1].tolist()])
-        joined, _ = _template(raw)
+        joined = _template(raw)
         found: set[int] = set()
-        for width, known in self.known.items():
-            h = windows(joined, width)
-            at = np.flatnonzero(self.filter[width][h >> np.uint64(44)])
+        for (width, kept_values), known in self.known.items():
+            h = windows(joined[kept_values], width)
+            at = np.flatnonzero(self.filter[width, kept_values][h >> np.uint64(44)])
             at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
             found.update((np.searchsorted(ends, at, "right") - 1).tolist())
         return sorted(found)
@@ -162,16 +167,17 @@ class Benchmark:
         """(item_id, words met, words of the item, whether all slots are alike) for each item that a text contains."""
         if not text:
             return []
-        codes, value = template(text, cache)
+        codes, value = both = template(text, cache)
         # item -> shift -> places in the item: word for word, and by the template
         hits: dict[int, dict[int, tuple[set[int], set[int]]]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
-        for width, known in self.known.items():
-            h = windows(codes, width)
-            at = np.flatnonzero(self.filter[width][h >> np.uint64(44)])
+        for (width, kept_values), known in self.known.items():
+            h = windows(both[kept_values], width)
+            at = np.flatnonzero(self.filter[width, kept_values][h >> np.uint64(44)])
             for i, key in zip(at.tolist(), h[at].tolist(), strict=True):
-                for k, j in self.places[width].get(key, ()):
+                for k, j in self.places[width, kept_values].get(key, ()):
                     same = np.array_equal(self.items[k][2][j : j + width], value[i : i + width])
-                    hits[k][i - j][not same].update(range(j, j + width))
+                    if same or not kept_values:
+                        hits[k][i - j][not same].update(range(j, j + width))
         out = []
         for k, shifts in hits.items():
             item_id, own, own_value = self.items[k]

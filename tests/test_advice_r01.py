@@ -26,3 +26,12 @@ def test_a_changed_value_hides_no_verbatim_passage():
     assert 0 in hits([item + " and then waits there for the next one to come"], both + " and then waits there for the next one to come")
     shape = "A train leaves the old station at 55 km from Rome and travels with Rome for 55 hours until it meets a bus at 7 km again"
     assert hits([item], shape) == {}
+
+
+def test_verbatim_items_of_numbers_and_names_are_found():
+    names = "George Washington John Adams Thomas Jefferson James Madison James Monroe Andrew Jackson Martin Van Buren Zachary Taylor Millard Fillmore Franklin Pierce"
+    items = [names, "12 + 15 = 27 and 18 + 21 = 39 30", "Compute the sum of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45", "Where did Ada Lovelace meet Charles Babbage"]
+    for k, item in enumerate(items):
+        met, words, alike = hits(items, f"as it was asked then {item} and so on")[k]
+        assert met == words and alike
+    assert hits(items, "as it was asked then " + names.replace("John", "Paul").replace("James", "Peter").replace("Martin", "Mark") + " and so on") == {}

@@ -20,9 +20,9 @@ from millrace.llm.spans import with_spans
 
 #: Patterns of candidates, and a cheap condition on a text txt without which there is none.
 PATTERNS = {
-    "assigned": (r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\x22']?+\s?+(?:=|:|:=|=>)\s?+[\x22']?+[^\s\x22'<>;,]{8,200}", "txt RLIKE '[=:]'"),
-    "prefixed": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|sk_live_|xox[abp]-|AIza)[A-Za-z0-9_-]{12,200}", "txt RLIKE 'AKIA|ASIA|gh[po]_|glpat-|sk[-_]|xox|AIza'"),
-    "random": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}+[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}(?![A-Za-z0-9+/_=-])", "txt RLIKE '[0-9]' AND txt RLIKE '[A-Za-z0-9+/_-]{24}'"),
+    "assigned": (r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\x22']?+\s?+(?:=|:|:=|=>)\s?+[\x22']?+[^\s\x22'<>;,]{8,}+", "txt RLIKE '[=:]'"),
+    "prefixed": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|sk_live_|xox[abp]-|AIza)[A-Za-z0-9_-]{12,}+", "txt RLIKE 'AKIA|ASIA|gh[po]_|glpat-|sk[-_]|xox|AIza'"),
+    "random": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])", "txt RLIKE '[0-9]' AND txt RLIKE '[A-Za-z0-9+/_-]{24}'"),
 }
 #: Words that a secret made at random doesn't hold.
 DICTIONARY = "the and for with that this example test sample token secret password user name admin value default change your here null none true false data file path http https www com org net html index image class style color button function return import version release build commit branch module package request response server client error message content header footer container element"

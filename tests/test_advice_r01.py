@@ -1,7 +1,10 @@
 """What the first round's review found missing."""
 
+import random
+import string
+
 import corpus_pipeline
-from millrace.llm import decontam
+from millrace.llm import decontam, secrets
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components
 
@@ -35,3 +38,16 @@ def test_verbatim_items_of_numbers_and_names_are_found():
         met, words, alike = hits(items, f"as it was asked then {item} and so on")[k]
         assert met == words and alike
     assert hits(items, "as it was asked then " + names.replace("John", "Paul").replace("James", "Peter").replace("Martin", "Mark") + " and so on") == {}
+
+
+def test_long_secrets_are_whole(spark):
+    r = random.Random(6)
+    long = {n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (201, 5000)}
+    late = "".join(r.choice(string.ascii_letters) for _ in range(80)) + long[201]
+    texts = [t for v in long.values() for t in (f'x token = "{v}" y', f"key AKIA{v} end", f"secret {v} end")] + [f"secret {late} end"]
+    values = [x for v in long.values() for x in (v, f"AKIA{v}", v)] + [late]
+    found = secrets.candidates(spark.createDataFrame([(i, t, "src/a") for i, t in enumerate(texts)], "doc_id long, txt string, path string")).collect()
+    assert {x["doc_id"]: x["v"] for x in found} == dict(enumerate(values)) and len(found) == len(texts)
+    assert all(texts[x["doc_id"]][x["s"] : x["e"]] == x["t"] for x in found)
+    got = secrets.scan(spark.createDataFrame([(i, t, "src/a") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    assert all(x["value_sha256"] == secrets.value_hash(values[x["doc_id"]]) for x in got) and {x["doc_id"] for x in got} == set(range(len(texts)))

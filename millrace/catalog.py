@@ -385,7 +385,7 @@ def _ran(spark, stream, mode):
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
     run = windows.start(stream, name, f"{root}/streams/{name}", mode)
     try:
-        run.awaitTermination(600)
+        run.awaitTermination()
     finally:
         run.stop()
     return spark.table(name)

@@ -4,7 +4,9 @@ import random
 import string
 
 import corpus_pipeline
+from millrace import catalog
 from millrace.llm import decontam, secrets
+from millrace.streaming import windows
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components
 
@@ -51,3 +53,22 @@ def test_long_secrets_are_whole(spark):
     assert all(texts[x["doc_id"]][x["s"] : x["e"]] == x["t"] for x in found)
     got = secrets.scan(spark.createDataFrame([(i, t, "src/a") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
     assert all(x["value_sha256"] == secrets.value_hash(values[x["doc_id"]]) for x in got) and {x["doc_id"] for x in got} == set(range(len(texts)))
+
+
+def test_a_slow_stream_is_waited_for(spark, monkeypatch):
+    class Slow:
+        """A query that any time limit ends too early."""
+
+        def __init__(self, run):
+            self.run = run
+
+        def awaitTermination(self, timeout=None):
+            return False if timeout is not None else self.run.awaitTermination()
+
+        def stop(self):
+            self.run.stop()
+
+    start = windows.start
+    monkeypatch.setattr(windows, "start", lambda *args: Slow(start(*args)))
+    rows = catalog.queries()["tumbling_count"](spark, DATA).collect()
+    assert sum(r["row_count"] for r in rows) == spark.read.parquet(f"{DATA}/events.parquet").count()

@@ -171,7 +171,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
     """The rows of docs, with all columns, whose text has a language with a score of min_score at least.
 
-    With the default only texts of no language (null, or without letters) go.
+    With the default only texts of no language (null, or without letters) go; so it is, whatever min_score, where nothing was
+    learned.
     """
 
     bound_batches(docs.sparkSession)
@@ -187,5 +188,9 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
 
 
 def _passes(model: Model, min_score: float, text: str | None) -> bool:
+    if not text or not _LETTER.search(text):
+        return False
+    if not model.languages:
+        return True
     lang, score = model.predict(text)
     return lang != "und" and score >= min_score

@@ -5,7 +5,7 @@ import string
 
 import corpus_pipeline
 from millrace import catalog
-from millrace.llm import decontam, secrets
+from millrace.llm import decontam, langid, secrets
 from millrace.streaming import windows
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components
@@ -72,3 +72,8 @@ def test_a_slow_stream_is_waited_for(spark, monkeypatch):
     monkeypatch.setattr(windows, "start", lambda *args: Slow(start(*args)))
     rows = catalog.queries()["tumbling_count"](spark, DATA).collect()
     assert sum(r["row_count"] for r in rows) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_texts_stay_where_no_language_was_learned(spark):
+    rows = spark.createDataFrame([(1, "a text", None), (2, "12 !?", None), (3, None, None), (4, "ü", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, rows, DATA).collect()} == {1, 4}

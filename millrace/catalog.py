@@ -433,4 +433,4 @@ def event_sample(spark, sf):
 @query()
 def dt_train_predict(spark, sf):
     own = t(spark, sf, "embeddings").select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return classify.predict(classify.train(own, depths=(5,), bins=(32,), instances=(1, 2)).model, own)
+    return classify.predict(classify.train(own).model, own)

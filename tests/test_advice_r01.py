@@ -6,6 +6,7 @@ import string
 import corpus_pipeline
 from millrace import catalog
 from millrace.llm import decontam, langid, secrets
+from millrace.plans import classify
 from millrace.streaming import windows
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components
@@ -77,3 +78,10 @@ def test_a_slow_stream_is_waited_for(spark, monkeypatch):
 def test_texts_stay_where_no_language_was_learned(spark):
     rows = spark.createDataFrame([(1, "a text", None), (2, "12 !?", None), (3, None, None), (4, "ü", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, rows, DATA).collect()} == {1, 4}
+
+
+def test_the_tree_is_searched_over_the_whole_grid(spark, monkeypatch):
+    seen, real = [], classify.CrossValidator
+    monkeypatch.setattr(classify, "CrossValidator", lambda **kw: seen.extend(kw["estimatorParamMaps"]) or real(**kw | {"estimatorParamMaps": kw["estimatorParamMaps"][:1]}))
+    assert catalog.queries()["dt_train_predict"](spark, DATA).count() > 0
+    assert len({tuple(sorted((p.name, v) for p, v in x.items())) for x in seen}) == 12

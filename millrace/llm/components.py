@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,12 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", scratch: Scratch | None = None) -> DataFrame:
     """(vertex, component) for every vertex of an edge table of longs; component is its smallest vertex.
 
-    Loops and repeated edges don't matter; rows with a null end are ignored; no edges give no rows.
+    Loops and repeated edges don't matter; rows with a null end are ignored; no edges give no rows. The rounds but the last are
+    deleted; the last one stays until scratch is cleared.
     """
-    now = materialise(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    keep = scratch or Scratch(edges.sparkSession)
+    own = Scratch(edges.sparkSession)
+    now = own.write(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -39,10 +42,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     before = state(now)
     while before[0]:
-        now = materialise(_star(_star(now, True), False))
+        following = Scratch(edges.sparkSession)
+        now = following.write(_star(_star(now, True), False))
+        own.clear()
+        own = following
         after = state(now)
         if after == before:
             break
         before = after
+    keep.paths += own.paths
     found = now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct())

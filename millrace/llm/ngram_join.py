@@ -36,7 +36,7 @@ from millrace.llm.components import components
 #: The screen's part of the hash space, as a multiple of the largest share of own shingles; sets of up to SMALL are counted whole.
 MARGIN, SMALL = 1.6, 40
 #: Shingles of a chunk of classes that is looked up together, and of a bucket of the hash space that is counted together.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET = 400_000, 1_000_000
 #: Bounds of one group: members and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: So many rows of at most three longs are broadcast (some 50 MB as a hash table); beyond it both sides are shuffled.
@@ -151,8 +151,8 @@ def scanned(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _edge(percent: int) -> np.uint64:
-    """Where the screen's part of the hash space ends."""
-    return np.uint64(min(2**64 - 1, int(2**64 * MARGIN * (100 - percent) / 100)))
+    """Where the screen's part of the hash space ends, in whole keys."""
+    return np.uint64(min(2**64 - 1, int(2**64 * MARGIN * (100 - percent) / 100)) >> 16 << 16)
 
 
 def common(rows: DataFrame, total: int, decode: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
@@ -201,7 +201,10 @@ def common(rows: DataFrame, total: int, decode: Callable[[pa.Scalar], np.ndarray
             if (n > 1).any():
                 out.append((chunk, pack(keys[i][n > 1]), n[n > 1].astype("<u4").tobytes()))
         kinds = (pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names[1:])
+        found = pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names[1:])
+        keys = every = place = total = out = None
+        give_back()
+        return found
 
     bound_batches(rows.sparkSession)
     return rows.select("chunk", "keys").mapInArrow(split, "bucket long, chunk long, keys binary, counts binary").groupBy("bucket").applyInArrow(count, "chunk long, keys binary, counts binary")
@@ -222,9 +225,14 @@ def _counts(keys: list[np.ndarray], known: pa.Table) -> tuple[np.ndarray, np.nda
     return every, owner, n
 
 
-def screened(rows: DataFrame, percent: int) -> DataFrame:
-    """(class): the classes that may have a partner, once or more, of rows as scanned() gives them."""
-    sent = rows.filter("keys is not null").select("chunk", "class", F.col("n_shingles").alias("n"), "keys")
+def screened(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(class): the classes that may have a partner, of rows as scanned() gives them. label has (class, senders, holder): how many
+    rows of a class have keys, and the least doc_id of those."""
+    sent = rows.filter("keys is not null")
+    # a class that several tasks have sent counts once
+    several = _small(label.filter("senders > 1").select(F.col("class").alias("__class"), "holder"))
+    sent = sent.join(several, F.col("class") == F.col("__class"), "left").filter("holder is null OR holder = doc_id")
+    sent = sent.select("chunk", "class", F.col("n_shingles").alias("n"), "keys")
     total = sent.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     edge = _edge(percent)
 
@@ -383,9 +391,10 @@ def connected(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id) for every row; digest is a hash of the text."""
     rows = materialise(scanned(docs, width, percent))
-    label = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    holder = F.min(F.when(F.col("keys").isNotNull(), F.col("doc_id")))
+    label = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.count("keys").alias("senders"), holder.alias("holder")))
     with Scratch(docs.sparkSession) as scratch:
-        left = scratch.write(screened(rows, percent).distinct())
+        left = scratch.write(screened(rows, label, percent).distinct())
         sets = scratch.write(shingle_sets(docs, label.join(left, "class"), width))
         found = connected(sets, percent, scratch).join(label, "class").select("class", "component", "doc_id")
         best = found.groupBy("component").agg(F.min("doc_id").alias("best"))

@@ -297,7 +297,7 @@ def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(7, question), (8, "short words only"), (9, None), (7, question)], "item_id long, text string")
     rows = [(1, f"Before it. {question} And after."), (2, other), (3, mixed), (4, "A clean text of many words that has nothing to do with any of the questions that were asked."), (5, None)]
     got = {r["doc_id"]: r["alike"] for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert got == {1: True, 2: False}
+    assert got == {1: True, 2: False, 3: False}  # 19 words of row 3 are the item's own
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     planted = {r["doc_id"] for r in docs.collect() for t in items.values() if t[20:80] in (r["text"] or "")}
     assert planted <= {r["doc_id"] for r in queries.op10_decontamination(spark, DATA).collect()}
@@ -314,7 +314,7 @@ def test_pipeline_stages(spark, docs):
         rows = kept.select("doc_id", "text").collect()
         want = {
             "language": lambda r: {x["doc_id"] for x in r if x["text"] and re.search(r"[^\W\d_]", x["text"])},
-            "near_copies": lambda r: {i for i, n, c in brute_components([(x["doc_id"], x["text"]) for x in r]) if i == c},
+            "near_copies": lambda r: {i for i, n, c in brute_components([(x["doc_id"], x["text"]) for x in r], 5, 80) if i == c},
             "decontamination": lambda r: {x["doc_id"] for x in r} - {x["doc_id"] for x in queries.op10_decontamination(spark, DATA).collect()},
             "personal_data": lambda r: {x["doc_id"] for x in r},
         }[name](rows)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, decontam, langid, ngram_join, pii
-from millrace.llm.common import materialise
+from millrace.llm.common import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        after = Scratch(spark)
+        docs = after.write(stage(spark, docs, sf_dir))
+        before.clear()
+        before = after
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,49 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, times
 from millrace.operators import rows, series
 from millrace.plans import batch, classify, scd
+from millrace.registry import QUERIES, SQL, Query, money, query, t
+from millrace.scratch import Scratch, materialise
 from millrace.sources import files
 from millrace.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def money(c: str):
-    return F.col(c).cast("decimal(18,2)")
+    return dict(SQL)
 
 
 # aggregates, top-k, joins
@@ -145,8 +119,8 @@ _DIRTY_TXN = """SELECT CASE WHEN o_orderkey % 50 = 7 THEN '  ' ELSE CAST(o_order
   CASE WHEN o_orderkey % 40 = 3 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS customer_id,
   CASE o_orderkey % 6 WHEN 0 THEN ' ' || substr(p, 1, 2) || ',' || substr(p, 3) || ' ' WHEN 1 THEN 'abc' WHEN 2 THEN '-5' ELSE p END AS transaction_amount,
   CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS transaction_date
-  FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders WHERE o_totalprice >= 1000
-        UNION ALL SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders WHERE o_totalprice >= 1000 AND o_orderkey % 20 = 0)"""
+  FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders
+        UNION ALL SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders WHERE o_orderkey % 20 = 0)"""
 _DIRTY_CUST = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS customer_name,
   CASE c_custkey % 4 WHEN 0 THEN ' cochin ' WHEN 1 THEN 'HYD' WHEN 2 THEN lower(n_name) ELSE 'poona' END AS city,
   CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE 'active' END AS status FROM customer JOIN nation ON c_nationkey = n_nationkey"""
@@ -154,7 +128,7 @@ _DIRTY_CUST = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS cus
 
 def _dirty(spark, sf):
     p = money("o_totalprice").cast("string")
-    orders = t(spark, sf, "orders").filter("o_totalprice >= 1000")
+    orders = t(spark, sf, "orders")
     orders = orders.unionByName(orders.filter("o_orderkey % 20 = 0")).withColumn("p", p)
     key = F.col("o_orderkey")
     six, five = key % 6, key % 5
@@ -189,7 +163,7 @@ def cleansed_customers(spark, sf):
 
 @query(_CLEAN + "SELECT transaction_id, customer_id, amount AS transaction_amount, CASE WHEN amount < 2500 THEN 'Low' WHEN amount <= 7500 THEN 'Medium' ELSE 'High' END AS amount_category, strftime(parsed, '%Y-%m-%d') AS transaction_date, month(parsed) AS transaction_month FROM judged SEMI JOIN good ON judged.customer_id = good.customer_id WHERE NOT bad")
 def cleansed_transactions(spark, sf):
-    own = batch.cleanse(*_dirty(spark, sf)).transactions
+    own = batch.cleanse(*_dirty(spark, sf), cut=materialise).transactions
     return own.select("transaction_id", "customer_id", "transaction_amount", "amount_category", "transaction_date", F.col("transaction_month").cast("long").alias("transaction_month"))
 
 
@@ -200,12 +174,12 @@ def cleansed_transactions(spark, sf):
  UNION ALL SELECT transaction_id, customer_id, raw, transaction_date, 'orphan' FROM judged ANTI JOIN good ON judged.customer_id = good.customer_id WHERE NOT bad"""
 )
 def quarantined_transactions(spark, sf):
-    return batch.cleanse(*_dirty(spark, sf), reasons=True).invalid_transactions.select("transaction_id", "customer_id", "transaction_amount_orig", "transaction_date", "reason")
+    return batch.cleanse(*_dirty(spark, sf), reasons=True, cut=materialise).invalid_transactions.select("transaction_id", "customer_id", "transaction_amount_orig", "transaction_date", "reason")
 
 
 @query(_CLEAN + "SELECT customer_id, customer_name, city, 'invalid' AS reason FROM cust WHERE status = ''")
 def quarantined_customers(spark, sf):
-    return batch.cleanse(*_dirty(spark, sf), reasons=True).invalid_customers.select("customer_id", "customer_name", "city", "reason")
+    return batch.cleanse(*_dirty(spark, sf), reasons=True, cut=materialise).invalid_customers.select("customer_id", "customer_name", "city", "reason")
 
 
 @query("SELECT o_orderpriority, o_orderstatus FROM orders GROUP BY ALL")
@@ -360,7 +334,7 @@ def json_roundtrip(spark, sf):
 SELECT doc_id, CAST(r.n AS BIGINT) AS line_no, r.line AS line, CAST(length(r.line) AS BIGINT) AS line_length FROM l WHERE length(r.line) = (SELECT max(length(r.line)) FROM l)"""
 )
 def longest_lines(spark, sf):
-    return batch.longest_lines(batch.lines_of(t(spark, sf, "documents"), "text", ["doc_id"]))
+    return batch.longest_lines_of(t(spark, sf, "documents"), "text", ["doc_id"])
 
 
 @query(
@@ -368,8 +342,8 @@ def longest_lines(spark, sf):
 SELECT source, doc_id, line, CAST(length(line) AS BIGINT) AS line_length FROM l QUALIFY length(line) = max(length(line)) OVER (PARTITION BY source)"""
 )
 def longest_lines_by_source(spark, sf):
-    own = batch.lines_of(t(spark, sf, "documents"), "text", ["source", "doc_id"])
-    return batch.longest_lines(own, ["source"]).select("source", "doc_id", "line", "line_length")
+    own = batch.longest_lines_of(t(spark, sf, "documents").filter("source is not null"), "text", ["source", "doc_id"], ["source"])
+    return own.select("source", "doc_id", "line", "line_length")
 
 
 # streams: read the events file as a stream, run what is there, read the sink
@@ -380,15 +354,16 @@ def _stream(spark, sf):
     return files.file_stream(spark, sf, schema, "parquet", glob="events.parquet")
 
 
-def _ran(spark, stream, mode):
-    name = f"s{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    run = windows.start(stream, name, f"{root}/streams/{name}", mode)
+def _ran(spark, stream, mode, keys=()):
+    """The stream's result after what is there, in a table."""
+    scratch = Scratch(spark)
+    path = scratch.path()
+    run = windows.to_batches(stream, path, scratch.path(), mode)
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return spark.table(name)
+    return windows.from_batches(spark, path, mode, keys)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS row_count FROM events GROUP BY 1, 2")
@@ -434,3 +409,7 @@ def event_sample(spark, sf):
 def dt_train_predict(spark, sf):
     own = t(spark, sf, "embeddings").select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return classify.predict(classify.train(own).model, own)
+
+
+# the others register themselves
+from millrace import catalog_files, catalog_streams  # noqa: E402, F401

@@ -44,3 +44,10 @@ def blank(c: Column) -> Column:
 def stem(name: Column) -> Column:
     """A path's last part without its extension."""
     return F.regexp_replace(F.substring_index(name, "/", -1), r"(?<=.)\.[^.]*$", "")
+
+
+def report_name(name: Column, suffix: str = "_longest_lines.txt", folder: str | None = None) -> Column:
+    """Where an object's report goes: beside it (its extension replaced), or in a folder under its last part's name."""
+    if folder is None:
+        return F.concat(F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", ""), F.lit(suffix))
+    return F.concat(F.lit(folder), stem(name), F.lit(suffix))

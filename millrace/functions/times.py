@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The bins of a day, [from, to) in hours.
 BINS = ((0, 6), (6, 12), (12, 18), (18, 24))
 DATE_PATTERNS = ("yyyy-MM-dd", "yyyy/MM/dd")
+#: Patterns of dates whose form isn't known, the likelier first; a day before a month only with dashes or dots.
+ANY_DATE = (*DATE_PATTERNS, "yyyy-M-d", "dd-MM-yyyy", "dd.MM.yyyy", "M/d/yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def parse_date(c: Column, patterns: Sequence[str] = DATE_PATTERNS) -> Column:
@@ -17,7 +19,13 @@ def parse_date(c: Column, patterns: Sequence[str] = DATE_PATTERNS) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(p)).cast("date") for p in patterns))
 
 
+def parse_any_date(c: Column) -> Column:
+    """A date in one of many forms, else null."""
+    return parse_date(c, ANY_DATE)
+
+
 def parse_time(c: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time of the given form, else null; with H in place of HH an hour may have one digit."""
     return F.try_to_timestamp(c, F.lit(pattern))
 
 

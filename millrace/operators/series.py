@@ -32,13 +32,22 @@ def regularise(df: DataFrame, key: str, ts: str, columns: Sequence[str]) -> Data
     return carry_forward(full, key, ts, columns)
 
 
-def trailing_count(df: DataFrame, seconds_col: str, seconds: int, name: str, key: str | None = None) -> DataFrame:
-    """How many rows (of the same key) lie in the last `seconds` up to each row, both ends and equal times included."""
-    rows = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(seconds_col).rangeBetween(-seconds, 0)
-    return df.withColumn(name, F.count(F.lit(1)).over(rows))
+def trailing_sum(df: DataFrame, seconds_col: str, seconds: int, value: str, name: str, key: str) -> DataFrame:
+    """(key, seconds_col, name): for each time of a key the sum of value over the last `seconds` up to it, both ends included.
 
+    Sums by second come first. Then time is cut into stretches of `seconds`; a window reaches at most into the stretch before, so each
+    stretch is summed with a copy of that one, and no key and no time is more than two stretches of work. Rows without a time go.
+    """
+    sums = df.filter(F.col(seconds_col).isNotNull()).groupBy(key, seconds_col).agg(F.sum(value).alias("__n"))
+    both = sums.withColumn("__home", F.floor(F.col(seconds_col) / seconds)).withColumn("__at", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
+    rows = Window.partitionBy(key, "__at").orderBy(seconds_col).rangeBetween(-seconds, 0)
+    return both.withColumn(name, F.sum("__n").over(rows)).filter("__at = __home").select(key, seconds_col, name)
 
-def trailing_sum(df: DataFrame, seconds_col: str, seconds: int, value: str, name: str, key: str) -> DataFrame:
-    """The sum of value over the same rows as trailing_count()."""
-    rows = Window.partitionBy(key).orderBy(seconds_col).rangeBetween(-seconds, 0)
-    return df.withColumn(name, F.sum(value).over(rows))
+
+def trailing_count(df: DataFrame, seconds_col: str, seconds: int, name: str, key: str | None = None) -> DataFrame:
+    """How many rows (of the same key) lie in the last `seconds` up to each row, both ends and equal times included; null without a time."""
+    own = df.withColumn("__key", F.col(key) if key else F.lit(0))
+    found = trailing_sum(own.withColumn("__one", F.lit(1)), seconds_col, seconds, "__one", "__found", "__key")
+    found = found.select(F.col("__key").alias("__k"), F.col(seconds_col).alias("__s"), "__found")
+    match = F.col("__key").eqNullSafe(F.col("__k")) & (F.col(seconds_col) == F.col("__s"))
+    return own.join(found, match, "left").select(*df.columns, F.col("__found").alias(name))

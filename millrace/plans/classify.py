@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,7 @@ class Trained:
     model: PipelineModel
     accuracy: float
     parameters: dict[str, int]
+    tried: list[tuple[dict[str, int], float]]
 
     def to_json(self) -> str:
         return json.dumps(self.parameters | {"accuracy": self.accuracy}, indent=2)
@@ -35,7 +36,22 @@ def train(df: DataFrame, depths: Sequence[int] = (5, 10, 15), bins: Sequence[int
     finally:
         df.unpersist()
     best = found.bestModel.stages[-1]
-    return Trained(found.bestModel, max(found.avgMetrics), {p: best.getOrDefault(p) for p in ("maxDepth", "maxBins", "minInstancesPerNode")})
+    tried = [({p.name: v for p, v in g.items()}, m) for g, m in zip(grid, found.avgMetrics)]
+    return Trained(found.bestModel, max(found.avgMetrics), {p: best.getOrDefault(p) for p in ("maxDepth", "maxBins", "minInstancesPerNode")}, tried)
+
+
+def save(trained: Trained, path: str, spark: SparkSession) -> None:
+    """The model under path/model and its parameters, as JSON, under path/metadata; what is there is replaced."""
+    trained.model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(trained.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")
+
+
+def load_metadata(path: str, spark: SparkSession) -> dict[str, float]:
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/metadata", wholetext=True).collect()))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +43,16 @@ def scd2(master: DataFrame, updates: DataFrame, key: str = "customer_id", preser
     return result
 
 
-def as_sql_views(tables: dict[str, DataFrame]) -> Sequence[str]:
-    """Name frames for SQL text; the names."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return list(tables)
+#: Types of the raw tables' columns; the others are text.
+TYPES = {"transaction_amount": "double", "effective_date": "date", "expiry_date": "date", "change_date": "date", "current_flag": "int"}
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """A raw table (all text) with the columns named in TYPES typed; what doesn't fit is null."""
+    return raw.select(*(F.col(c).try_cast(TYPES[c]).alias(c) if c in TYPES else F.col(c) for c in raw.columns))
+
+
+def run_sql(text: str, **tables: DataFrame) -> DataFrame:
+    """The result of SQL text in which {name} stands for a frame. The frames become views of this call's own, so that nothing of
+    the session's is replaced."""
+    return next(iter(tables.values())).sparkSession.sql(text, **tables)

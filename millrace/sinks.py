@@ -20,6 +20,16 @@ def write_libsvm(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").format("libsvm").save(path)
 
 
+def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first n rows; what is shown to people. Nothing is printed here."""
+    return df.limit(n)
+
+
+def write_messages(messages: DataFrame, path: str) -> None:
+    """(key, value) messages as JSON files: what write_kafka() sends, without a broker; message_stream() reads them."""
+    messages.write.mode("append").json(path)
+
+
 def as_messages(df: DataFrame, key: str) -> DataFrame:
     """(key, value): value is the row as JSON without its null fields."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))

@@ -19,8 +19,8 @@ def test_a_slow_stream_is_waited_for(spark, monkeypatch):
         def stop(self):
             self.run.stop()
 
-    start = windows.start
-    monkeypatch.setattr(windows, "start", lambda *args: Slow(start(*args)))
+    start = windows.to_batches
+    monkeypatch.setattr(windows, "to_batches", lambda *args: Slow(start(*args)))
     rows = catalog.queries()["tumbling_count"](spark, DATA).collect()
     assert sum(r["row_count"] for r in rows) == spark.read.parquet(f"{DATA}/events.parquet").count()
 

@@ -89,9 +89,14 @@ def test_longest_lines(spark):
     df = spark.createDataFrame([(1, "ab\r\ncd\re\n"), (2, ""), (3, "x")], "id int, t string")
     own = batch.lines_of(df, "t", ["id"])
     assert values(batch.longest_lines(own).select("id", "line_no", "line")) == [(1, 1, "ab"), (1, 2, "cd")]
-    report = [r["value"] for r in batch.longest_report(own.filter("id = 1"), "f.txt").collect()]
-    assert report == ["Source: f.txt", "Longest line length: 2", "Line 1: ab", "Line 2: cd"]
-    assert batch.longest_report(own.filter("id = 9"), "f").collect()[1]["value"] == "Longest line length: 0"
+    objects = df.select(F.concat(F.lit("in/"), "id", F.lit(".txt")).alias("name"), "t")
+    found = batch.longest_reports(objects, "name", "t", prefix="s3://", least=-1).orderBy("name", "position").collect()
+    assert [r["value"] for r in found if r["name"] == "in/1.txt"] == ["Source: s3://in/1.txt", "Max length (characters, excluding newline): 2", "Number of longest lines: 2", "", "Longest line(s):", "[Line 1] (2 chars): ab", "[Line 2] (2 chars): cd"]
+    assert [r["value"] for r in found if r["name"] == "in/2.txt"][1:3] == ["Max length (characters, excluding newline): -1", "Number of longest lines: 0"]
+    plain = batch.longest_reports(spark.createDataFrame([("a/b.txt", "x\u2028yy\x0czz\n\n"), ("c", None)], "name string, t string"), "name", "t", numbered=False).orderBy("name", "position").collect()
+    assert [r["value"] for r in plain] == ["Input file: b.txt", "Maximum line length: 2", "Longest line(s):", "yy", "zz", "Input file: c", "Maximum line length: 0", "Longest line(s):"]
+    blank = batch.lines_of(spark.createDataFrame([(1, "a\n\n")], "id int, t string"), "t", ["id"])
+    assert values(blank.select("line_no", "line")) == [(1, "a"), (2, "")]
 
 
 def test_argmax_ties_and_empty(spark):
@@ -128,7 +133,7 @@ def test_producers_and_fan_out(spark, tmp_path):
     files.product_events(spark, 5).write.json(f"{tmp_path}/in")
     schema = "id int, product_name string"
     windows.publish(files.file_stream(spark, f"{tmp_path}/in", schema), "producer_1", "p1_", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
-    assert sorted(r["key"] for r in spark.read.json(f"{tmp_path}/out").collect()) == [f"p1_{i}" for i in range(5)]
+    assert sorted(r["key"] for r in spark.read.json(f"{tmp_path}/out/messages").collect()) == [f"p1_{i}" for i in range(5)]
     seen = {}
     handlers = {n: lambda df, _, n=n: seen.__setitem__(n, df.count()) for n in ("a", "b")}
     for q in windows.fan_out(lambda: files.file_stream(spark, f"{tmp_path}/in", schema), handlers, f"{tmp_path}/fan").values():

@@ -1,17 +1,19 @@
-"""Helpers shared by the corpus operators: shared scratch tables, fresh column names, Arrow batches."""
+"""Helpers shared by the corpus operators: fresh column names, Arrow batches; scratch tables come from the library."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.scratch import Scratch, materialise, scratch_root
+
+__all__ = ["Scratch", "materialise", "scratch_root"]
+
 #: Lower-cases A-Z only, as the text contracts ask for.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,53 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one (as in tests) gets a
-    temporary folder of its own; on a cluster a missing setting is an error, as executors don't share local folders."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
-    return root.rstrip("/")
-
-
-#: The temporary folder of each local application that named none.
-_LOCAL: dict[str, str] = {}
-
-
-class Scratch:
-    """Tables in the shared folder that are deleted together, by clear() or at the end of a with block."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.clear()
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Cut the lineage: write df as Parquet and read it back."""
-        path = f"{scratch_root(self.spark)}/millrace/{uuid.uuid4().hex}"
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        context = self.spark.sparkContext
-        for path in self.paths:
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-        self.paths = []
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage for a result that outlives the operator: the table stays until the shared folder is cleaned."""
-    return Scratch(df.sparkSession).write(df)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

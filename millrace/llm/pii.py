@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import trees
-from millrace.llm.common import fresh
 from millrace.llm.spans import with_spans
 
 #: Kinds in their order.
@@ -30,7 +30,7 @@ BASE = {
 }
 #: Generators of further candidates.
 OTHER = {
-    "disguised": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?+(?:\((?:at|AT)\)|\[(?:at|AT)\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++", "txt RLIKE '(?i)[(\\\\[ ]at[)\\\\] ]'"),
+    "disguised": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?+[(\[](?:at|AT)[)\]]\x20?+|\x20(?:at|AT)\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?+[(\[](?:dot|DOT)[)\]]\x20?+|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)++", "txt RLIKE '(?i)[(\\\\[ ]at[)\\\\] ]'"),
     "grouped": (r"(?<![0-9A-Za-z.+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])", "has_digit"),
 }
 _DIGITS = "regexp_replace(x.t, '[^0-9]', '')"
@@ -51,26 +51,45 @@ VALID = {
 }
 _BEFORE = "lower(substring(txt, greatest(1, x.s - 31), least(x.s, 32)))"
 _WORDS = {"phone": "phone|tel|call|mobile|fax|cell|contact|sms|ring", "card": "card|visa|mastercard|amex|credit|debit", "ssn": "ssn|social|security", "email": "mail|contact|write|reach|send", "other": "order|invoice|isbn|ref|version|serial|id|no|part|page|date|sku|item|lot|tracking"}
-#: The features of a candidate x in a text txt; numbers, so that trees can cut them.
-FEATURES = {
-    "length": "cast(e - s AS double)",
-    "digits": "cast(nd AS double)",
-    "groups": "cast(size(split(shape, '[^9]+')) AS double)",
-    "dashes": "cast(length(t) - length(replace(t, '-', '')) AS double)",
-    "dots": "cast(length(t) - length(replace(t, '.', '')) AS double)",
-    "spaces": "cast(length(t) - length(replace(t, ' ', '')) AS double)",
-    "parens": "cast(contains(t, '(') AS double)",
-    "ssn_shape": "cast(shape = '999-99-9999' AS double)",
-    "phone_shape": "cast(shape RLIKE '^[(]?999[)]?[-. ]{0,2}999[-. ]9999$' AS double)",
-    "card_shape": "cast(shape RLIKE '^9999([- ]?)9999\\\\1?9999\\\\1?9999$' AS double)",
-    "at": "cast(t RLIKE '(?i)[(\\\\[]at[)\\\\]]' AS double)",
-    "dot": "cast(t RLIKE '(?i)[(\\\\[]dot[)\\\\]]|[.][A-Za-z]{2,6}$' AS double)",
-    "date": "cast(t RLIKE '^(19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}' AS double)",
-    "decimal": "cast(t RLIKE '^[0-9]+[.][0-9]+$' AS double)",
-    **{f"near_{k}": f"cast(before RLIKE '(^|[^a-z])({w})[^a-z]*([a-z]+[^a-z]+)?$' AS double)" for k, w in _WORDS.items()},
-    "money": "cast(before RLIKE '[$€£] ?$' AS double)",
-}
-SEED, SAMPLES, PRECISION = 11, 3000, 0.98
+#: What the digits of payment cards begin with, by length, and common top-level domains.
+ISSUERS = "^(4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(011|5[0-9]{2})[0-9]{12})$"
+DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|us|eu"
+
+
+def features(p: str) -> dict[str, str]:
+    """SQL of a candidate's features as numbers, so that trees can cut them; p stands before the names of its fields."""
+    t, shape, before = f"{p}t", f"{p}shape", f"{p}before"
+
+    def count(mark: str) -> str:
+        return f"cast(length({t}) - length(replace({t}, '{mark}', '')) AS double)"
+
+    def fits(what: str, pattern: str) -> str:
+        return f"cast({what} RLIKE '{pattern}' AS double)"
+
+    return {
+        "length": f"cast({p}e - {p}s AS double)",
+        "digits": f"cast({p}nd AS double)",
+        "groups": f"cast(size(split({shape}, '[^9]+')) AS double)",
+        "dashes": count("-"),
+        "dots": count("."),
+        "spaces": count(" "),
+        "parens": f"cast(contains({t}, '(') AS double)",
+        "ssn_shape": f"cast({shape} = '999-99-9999' AS double)",
+        "phone_shape": fits(shape, "^[(]?999[)]?[-. ]{0,2}999[-. ]9999$"),
+        "card_shape": fits(shape, "^9999([- ]?)9999\\\\1?9999\\\\1?9999$"),
+        "issuer": fits(f"regexp_replace({t}, '[^0-9]', '')", ISSUERS),
+        "at": fits(t, "(?i)[(\\\\[]at[)\\\\]]"),
+        "dot": fits(t, "(?i)[(\\\\[]dot[)\\\\]]|[.][A-Za-z]{2,6}$"),
+        "spelt": fits(t, "(?i) dot "),
+        "domain": fits(t, f"(?i)[^a-z]({DOMAINS})$"),
+        "date": fits(t, "^(19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}"),
+        "decimal": fits(t, "^[0-9]+[.][0-9]+$"),
+        **{f"near_{k}": fits(before, f"(^|[^a-z])({w})[^a-z]*([a-z]+[^a-z]+)?$") for k, w in _WORDS.items()},
+        "money": fits(before, "[$€£] ?$"),
+    }
+
+
+SEED, SAMPLES, PRECISION = 11, 4000, 0.995
 
 
 def candidates(docs: DataFrame, generators: dict = OTHER) -> DataFrame:
@@ -103,13 +122,23 @@ def labelled(seed: int = SEED, n: int = SAMPLES) -> list[tuple[str, int]]:
     def name() -> str:
         return "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(3, 9)))
 
+    def card() -> str:
+        start = r.choice(["4", "51", "55", "2221", "2669", "34", "37", "6011", "65"])
+        return start + digits((15 if start in ("34", "37") else 16) - len(start))
+
+    def number(low: int, high: int) -> str:
+        while re.match(ISSUERS, found := digits(r.randint(low, high))):
+            pass
+        return found
+
     true = [
         lambda: r.choice(["call", "phone", "tel:", "mobile", "fax", "contact"]) + " " + r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(digits(3), digits(3), digits(4)),
         lambda: "({}) {}-{}".format(digits(3), digits(3), digits(4)),
         lambda: r.choice(["ssn", "social security number", "SSN:"]) + f" {digits(3)}-{digits(2)}-{digits(4)}",
         lambda: r.choice(["card", "visa", "credit card"]) + " " + r.choice(["4{} {} {} {}", "5{}-{}-{}-{}"]).format(digits(3), digits(4), digits(4), digits(4)),
+        lambda: f"{r.choice(['', 'paid by card ', words(1) + ' '])}{card()}",
         lambda: f"{name()}{r.choice(['(at)', ' (at) ', '[at]', ' [at] '])}{name()}{r.choice(['.', ' (dot) ', '[dot]', '(dot)'])}{r.choice(['com', 'org', 'net'])}",
-        lambda: f"{r.choice(['mail', 'write to', 'reach me'])} {name()} at {name()} dot {r.choice(['com', 'org', 'net'])}",
+        lambda: f"{r.choice(['mail', 'write to', 'reach me', 'reach me ' + words(1)])} {name()} {r.choice(['at', 'AT'])} {name()} {r.choice(['dot', 'DOT'])} {r.choice(['com', 'org', 'net', 'de', 'io'])}",
     ]
     false = [
         lambda: r.choice(["order", "invoice", "ref", "serial", "part no", "tracking"]) + " " + digits(r.randint(7, 19)),
@@ -117,7 +146,8 @@ def labelled(seed: int = SEED, n: int = SAMPLES) -> list[tuple[str, int]]:
         lambda: r.choice(["$", "€ ", "£"]) + digits(r.randint(7, 9)),
         lambda: f"{digits(r.randint(1, 5))}.{digits(r.randint(6, 12))}",
         lambda: f"isbn {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
-        lambda: f"{words(2)} {digits(r.randint(7, 18))}",
+        lambda: f"{words(2)} {number(7, 18)}",
+        lambda: f"{r.choice(['order', 'invoice', 'tracking', 'serial'])} {card()}",
         lambda: f"version {digits(2)}.{digits(2)}.{digits(4)}",
         lambda: f"{digits(4)} {digits(4)} {digits(4)}",
         lambda: f"look at {r.choice(fill)}.{r.choice(fill).title()}",
@@ -135,9 +165,9 @@ def labelled(seed: int = SEED, n: int = SAMPLES) -> list[tuple[str, int]]:
 def model(spark: SparkSession, seed: int = SEED, n: int = SAMPLES) -> tuple[trees.Ensemble, tuple[float, ...]]:
     """The trees, and for each kind the score that reaches PRECISION on the third of the rows kept back."""
     rows = spark.createDataFrame(labelled(seed, n), "txt string, y int")
-    features = [F.expr(v).alias(k) for k, v in FEATURES.items()]
-    found = candidates(rows).select("txt", "y", F.explode("others").alias("c")).select("y", "txt", "c.*").select("y", "k", "s", "txt", *features).orderBy("txt", "s", "k").collect()
-    x = np.array([[r[f] for f in FEATURES] for r in found], float)
+    own = features("")
+    found = candidates(rows).select("txt", "y", F.explode("others").alias("c")).select("y", "txt", "c.*").select("y", "k", "s", "txt", *(F.expr(v).alias(k) for k, v in own.items())).orderBy("txt", "s", "k").collect()
+    x = np.array([[r[f] for f in own] for r in found], float)
     y, k = np.array([r["y"] for r in found], float), np.array([r["k"] for r in found])
     kept_back = np.arange(len(y)) % 3 == 0
     fitted = trees.boost(x[~kept_back], y[~kept_back])
@@ -146,33 +176,30 @@ def model(spark: SparkSession, seed: int = SEED, n: int = SAMPLES) -> tuple[tree
     return fitted, cuts
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add base and spans to docs: arrays of (s, k, e), sorted: start, place of the kind in KINDS, end (exclusive), in code points.
+def find(docs: DataFrame) -> DataFrame:
+    """Add base and spans to docs (row, txt): arrays of (s, k, e), sorted: start, place of the kind in KINDS, end (exclusive), in code
+    points. Other columns go.
 
     base has what the base rules find; spans also the candidates that the trees select and that overlap no base
-    span. A null or empty text has none.
+    span. An empty text has none.
     """
     fitted, cuts = model(docs.sparkSession)
-    df = candidates(docs.withColumn("txt", F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    df = candidates(docs.select("row", "txt"))
     base = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'k', {KINDS.index(k)}, 'e', x.e))" for k in BASE)
     df = df.withColumn("base", F.expr(f"array_sort(concat({base}))")).drop(*BASE)
-    named = ", ".join(f"'{k}', transform(array(c), y -> {_fields(v)})[0]" for k, v in FEATURES.items())
-    cut = "CASE c.k " + " ".join(f"WHEN {i} THEN {c:.6f}D" for i, c in enumerate(cuts)) + " END"
+    own = features("y.")
+    named = ", ".join(f"'{k}', transform(array(c), y -> {v})[0]" for k, v in own.items())
+    cut = "CASE z.c.k " + " ".join(f"WHEN {i} THEN {c:.6f}D" for i, c in enumerate(cuts)) + " END"
     df = df.withColumn("scored", F.expr(f"transform(others, c -> named_struct('c', c, 'f', named_struct({named})))"))
-    score = fitted.sql([f"z.f.{k}" for k in FEATURES])
-    chosen = f"filter(scored, z -> ({score}) >= {cut.replace('c.k', 'z.c.k')} AND NOT exists(base, b -> b.s < z.c.e AND b.e > z.c.s))"
+    score = fitted.sql([f"z.f.{k}" for k in own])
+    chosen = f"filter(scored, z -> ({score}) >= {cut} AND NOT exists(base, b -> b.s < z.c.e AND b.e > z.c.s))"
     df = df.withColumn("spans", F.expr(f"array_sort(array_distinct(concat(base, transform({chosen}, z -> named_struct('s', z.c.s, 'k', z.c.k, 'e', z.c.e)))))"))
-    return df.drop("txt", "others", "scored")
+    return df.select("row", "txt", "base", "spans")
 
 
-def _fields(feature: str) -> str:
-    """The feature with its names as fields of y."""
-    out = feature
-    for field in ("before", "shape"):
-        out = out.replace(field, f"y.{field}")
-    for plain, field in (("e - s", "y.e - y.s"), ("(nd ", "(y.nd "), ("(t ", "(y.t "), ("(t)", "(y.t)"), ("(t,", "(y.t,")):
-        out = out.replace(plain, field)
-    return out
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """(row, txt): all columns in one, so that none can clash with those made here, and the text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("txt"))
 
 
 def joined(spans: str) -> str:
@@ -181,25 +208,27 @@ def joined(spans: str) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text); rows that repeat are
-    repeated, no rows give none."""
-    df = find(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text). A null or empty text has no
+    spans: zeros, the hash of nothing, an empty string. Rows that repeat are repeated, no rows give none, other columns don't matter."""
+    df = find(_rows(docs.select("doc_id", "text"), "text"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return df.select("doc_id", *counts, F.sha2(F.expr(joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+    return df.select("row.doc_id", *counts, F.sha2(F.expr(joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, length: str | None = "n_chars") -> DataFrame:
     """docs with each span of text replaced by its kind, overlapping spans by the first one's; the column named length
-    gets the new text's length where the text changed. All rows and other columns stay."""
-    spans, cut = "spans", "cut"
-    clash = {c: fresh(docs, f"{c}_kept") for c in docs.columns if c.lower() in {"base", "spans", "cut", "txt", "others", "scored", "has_digit", *BASE, *OTHER}}
-    df = find(docs.withColumnsRenamed(clash))
+    gets the new text's length where the text changed. All rows and other columns stay, whatever they are called, repeated rows and
+    those with a null or empty text as they are; no rows give none."""
+    df = find(_rows(docs, "text"))
     kind = "array<struct<s: int, k: int, e: int>>"
     merge = f"aggregate(spans, cast(array() AS {kind}), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e > x.s THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'k', element_at(a, -1).k, 'e', greatest(element_at(a, -1).e, x.e)))) ELSE concat(a, array(x)) END)"
-    df = df.withColumn("cut", F.expr(merge))
+    df = df.select("row", "txt", F.expr(merge).alias("cut"))
     names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    pieces = f"transform(cut, (x, i) -> concat(substring(text, CASE WHEN i = 0 THEN 1 ELSE cut[i - 1].e + 1 END, x.s - CASE WHEN i = 0 THEN 0 ELSE cut[i - 1].e END), element_at(array({names}), x.k + 1)))"
-    df = df.withColumn("text", F.expr(f"CASE WHEN size(cut) = 0 THEN text ELSE concat(array_join({pieces}, ''), substring(text, element_at(cut, -1).e + 1)) END"))
-    if length and length in docs.columns:
-        df = df.withColumn(length, F.when(F.size("cut") == 0, F.col(length)).otherwise(F.length("text").cast(docs.schema[length].dataType)))
-    return df.drop("base", spans, cut).withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
+    pieces = f"transform(cut, (x, i) -> concat(substring(txt, CASE WHEN i = 0 THEN 1 ELSE cut[i - 1].e + 1 END, x.s - CASE WHEN i = 0 THEN 0 ELSE cut[i - 1].e END), element_at(array({names}), x.k + 1)))"
+    df = df.withColumn("txt", F.expr(f"CASE WHEN size(cut) = 0 THEN txt ELSE concat(array_join({pieces}, ''), substring(txt, element_at(cut, -1).e + 1)) END"))
+    out = []
+    for field in docs.schema:
+        old = F.col("row").getField(field.name)
+        new = F.col("txt") if field.name == "text" else F.length("txt").cast(field.dataType) if field.name == length else None
+        out.append((old if new is None else F.when(F.size("cut") == 0, old).otherwise(new)).alias(field.name))
+    return df.select(*out)

@@ -4,13 +4,14 @@ Texts are hashed byte n-gram profiles. A linear SVM for each family (one against
 it a linear SVM for each pair of languages votes. Margins become probabilities by a logistic curve that is fitted to
 the training margins; the score of a prediction is the product of the two steps' probabilities.
 
-The SVMs are fitted to a bounded sample of labelled rows (PER_LANGUAGE texts a language, chosen by hash), so the model
-costs the same at any size; prediction reads every whole text.
+The SVMs are fitted to a bounded sample of labelled rows (PER_LANGUAGE texts a language, TOTAL_ROWS in all, chosen by hash), so the
+model costs the same at any size; prediction reads every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,11 @@ from millrace.llm.common import bound_batches, fresh, give_back, key_texts, map_
 PER_LANGUAGE, DIM = 300, 1 << 13
 #: The training rows of a language are chosen from the rows whose ids have the least hashes, about so many times PER_LANGUAGE.
 POOL = 4
-#: At most so many languages are learned, those with the most rows; it bounds what the driver gathers.
-MAX_LANGUAGES = 100
+#: Training rows at most: with many languages each gives fewer, and one at least as long as there are no more languages than this.
+TOTAL_ROWS = 30_000
+#: From so many letters on a text whose score is less than FLOOR times the least that any training text of so many letters has is in none
+#: of the learned languages.
+FLOOR_LETTERS, FLOOR = 10, 0.8
 #: Families of ISO 639-1 codes; a code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -85,11 +89,16 @@ class Model:
     families: list[str]
     family: np.ndarray  # a row of weights for each family
     pairs: list[tuple[str, str, np.ndarray]]  # positive margins speak for the first
+    floor: float = 0.0  # the least score of a text that is in one of the languages
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
-        x = np.append(profile(text), np.float32(1))
+        return self.decide(profile(text))
+
+    def decide(self, own: np.ndarray) -> tuple[str, float]:
+        """The language of a profile, and how sure it is."""
+        x = np.append(own, np.float32(1))
         family, sure = self.families[0], 1.0
         if len(self.families) > 1:
             p = 1 / (1 + np.exp(-3 * (self.family @ x).astype(float)))
@@ -113,28 +122,36 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def many_letters(text: str) -> bool:
+    return sum(1 for _ in itertools.islice(_LETTER.finditer(text), FLOOR_LETTERS)) == FLOOR_LETTERS
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit to rows of docs (doc_id, text, lang) that have a lang, an id and letters and aren't held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    """Fit to rows of docs (doc_id, text, lang) that have a lang, an id and letters and aren't held out. Rows that repeat an id and a
+    language count once; with no such row, or none at all, nothing is learned and all predictions are und. Other columns don't matter."""
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = usable.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).filter(r"text RLIKE '\\p{L}'")
+    rows = usable.select("doc_id", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL_ROWS).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], [], np.zeros((0, DIM + 1)), [])
+    per_language = max(1, min(per_language, TOTAL_ROWS // len(languages)))
     # ids only, and of these the ones with the least hashes: some POOL times per_language a language, however many rows there are
-    least = {k: min(2**63 - 1, int(2**64 * POOL * per_language / n) - 2**63) for k, n in counts.items()}
-    in_pool = F.xxhash64("doc_id") <= F.element_at(F.create_map(*(c for k, v in least.items() for c in (F.lit(k), F.lit(v).cast("long")))), F.col("lang"))
+    least = docs.sparkSession.createDataFrame([(k, min(2**63 - 1, int(2**64 * POOL * per_language / n) - 2**63)) for k, n in counts.items()], "lang string, most long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.filter(F.col("lang").isin(languages)).filter(in_pool).withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "rank", "text")
+    chosen = rows.join(F.broadcast(least), "lang").filter(F.xxhash64("doc_id") <= F.col("most")).withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "rank", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [(a, r, t) for a, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and _LETTER.search(t)]
-            return pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([profile(f[2]).astype(np.float16).tobytes() for f in found], pa.binary())], ["lang", "rank", "x"])
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([profile(f[2]).astype(np.float16).tobytes() for f in found], pa.binary()), pa.array([many_letters(f[2]) for f in found], pa.bool_())]
+            return pa.record_batch(columns, ["lang", "rank", "x", "many"])
 
         return step
 
-    sample = map_batches(texts, make, "lang string, rank int, x binary").dropDuplicates(["lang", "rank"]).collect()  # rows may repeat an id
+    sample = map_batches(texts, make, "lang string, rank int, x binary, many boolean").dropDuplicates(["lang", "rank"]).collect()  # rows may repeat an id
     sample.sort(key=lambda r: (r["lang"], r["rank"], bytes(r["x"])))  # the order decides the last bits of the weights
     x = np.array([np.frombuffer(r["x"], np.float16) for r in sample], np.float32).reshape(-1, DIM)
     y = np.array([r["lang"] for r in sample], dtype=object)
@@ -148,7 +165,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             if family_of(a) == family_of(b):
                 mine = (y == a) | (y == b)
                 pairs.append((a, b, fit_svm(x[mine], np.where(y[mine] == a, 1, -1).astype(np.float32))))
-    return Model(languages, families, family, pairs)
+    model = Model(languages, families, family, pairs)
+    scores = [model.decide(v)[1] for v, r in zip(x, sample, strict=True) if r["many"]]
+    model.floor = FLOOR * min(scores, default=0.0)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -168,29 +188,32 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(key_texts(docs), make, "doc_id long, lang_pred string, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a language with a score of min_score at least.
+def keep_identified(docs: DataFrame, model: Model, languages: Collection[str] | None = None, min_score: float | None = None) -> DataFrame:
+    """The rows of docs, with all columns, whose text is in one of the languages (all learned ones by default).
 
-    With the default only texts of no language (null, or without letters) go; so it is, whatever min_score, where nothing was
-    learned.
+    Texts of no language go: null, empty or without letters, and those of FLOOR_LETTERS letters or more whose score is less than
+    min_score (by default the model's floor). So do texts in other languages than the given ones. Where nothing was learned, all texts
+    with letters stay. Repeated rows stay or go together; no rows give none; columns may have any names.
     """
 
     bound_batches(docs.sparkSession)
+    wanted = None if languages is None else frozenset(languages)
+    least = model.floor if min_score is None else min_score
 
     @F.arrow_udf("boolean")
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([_passes(model, min_score, t.as_py()) for t in texts], pa.bool_())
+            yield pa.array([_passes(model, wanted, least, t.as_py()) for t in texts], pa.bool_())
         give_back()
 
     kept = fresh(docs, "kept")
     return docs.withColumn(kept, passes(F.col("text").cast("string"))).filter(F.col(kept)).drop(kept)
 
 
-def _passes(model: Model, min_score: float, text: str | None) -> bool:
+def _passes(model: Model, languages: frozenset[str] | None, least: float, text: str | None) -> bool:
     if not text or not _LETTER.search(text):
         return False
     if not model.languages:
         return True
     lang, score = model.predict(text)
-    return lang != "und" and score >= min_score
+    return (languages is None or lang in languages) and (score >= least or not many_letters(text))

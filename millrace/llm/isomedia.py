@@ -141,11 +141,23 @@ def _trak(data: memoryview, start: int, end: int) -> Track:
     if b"stsd" in found:
         at = found[b"stsd"][0]
         track.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-    if b"stsz" not in found or b"stsc" not in found or not {b"stco", b"co64"} & found.keys():
+    if not {b"stsz", b"stz2"} & found.keys() or b"stsc" not in found or not {b"stco", b"co64"} & found.keys():
         return track
-    at, stop = found[b"stsz"]
-    same, count = struct.unpack_from(">2I", data, at + 4)
-    sizes = _numbers(data, at + 12, count, ">u4", stop) if same == 0 else None
+    same = 0
+    if b"stsz" in found:
+        at, stop = found[b"stsz"]
+        same, count = struct.unpack_from(">2I", data, at + 4)
+        sizes = _numbers(data, at + 12, count, ">u4", stop) if same == 0 else None
+    else:
+        at, stop = found[b"stz2"]
+        width, count = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if width == 4:
+            pairs = _numbers(data, at + 12, (count + 1) // 2, "u1", stop)
+            sizes = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:count]
+        elif width in (8, 16):
+            sizes = _numbers(data, at + 12, count, f">u{width // 8}", stop)
+        else:
+            raise ValueError(f"sample sizes of {width} bits")
     at, stop = found.get(b"stco") or found[b"co64"]
     chunk = _numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], ">u4" if b"stco" in found else ">u8", stop)
     at, stop = found[b"stsc"]
@@ -174,7 +186,7 @@ def read_tracks(data: bytes) -> list[Track]:
     return [_trak(view, a, b) for kind, x, y in walk(view, 0, len(view)) if kind == b"moov" for k, a, b in walk(view, x, y) if k == b"trak"]
 
 
-INDEX = "codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<start: long, end: long>>"
+INDEX = "tracks array<struct<codec: string, handler: string, timescale: long, duration: long, n_samples: long, keyframes: array<struct<start: long, end: long>>>>"
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -191,9 +203,11 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def index_media(media: DataFrame, digests: bool = False) -> DataFrame:
-    """For (doc_id, n_bytes, media): the first track's index, error, and with digests what the stored bytes hash to.
+    """For (doc_id, n_bytes, media): the index of each track in the file's order, error, and with digests what the container and the first
+    track's stored bytes hash to.
 
-    A null or damaged container has null index columns and a text in error; one without tracks too.
+    A null or damaged container has null tracks and a text in error; one without tracks too. Repeated rows give repeated results, no
+    rows none.
     """
 
     def make():
@@ -203,16 +217,16 @@ def index_media(media: DataFrame, digests: bool = False) -> DataFrame:
                 data = scalar.as_py()
                 row = {"doc_id": doc_id, "n_bytes": n}
                 try:
-                    track = read_tracks(data)[0] if data is not None else None
-                    if track is None:
-                        row["error"] = "no media"
+                    tracks = read_tracks(data) if data is not None else []
+                    if not tracks:
+                        row["error"] = "no media" if data is None else "no track"
                     else:
-                        row |= {"codec": track.codec, "handler": track.handler, "timescale": track.timescale, "duration": track.duration, "n_samples": len(track.sizes), "keyframes": [{"start": a, "end": b} for a, b in track.ranges()]}
-                    if track is not None and digests:
-                        payload = track.payload(memoryview(data))
+                        row["tracks"] = [{"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in t.ranges()]} for t in tracks]
+                    if tracks and digests:
+                        payload = tracks[0].payload(memoryview(data))
                         row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-FRAME:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
                 except (ValueError, IndexError, struct.error) as e:
-                    row["error"] = str(e) or "no track"
+                    row = {"doc_id": doc_id, "n_bytes": n, "error": str(e) or "damaged"}
                 rows.append(row)
             return pa.RecordBatch.from_pylist(rows, schema)
 
@@ -224,7 +238,8 @@ def index_media(media: DataFrame, digests: bool = False) -> DataFrame:
     if digests:
         kinds += [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
         text += ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    kinds += [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", ranges), ("error", pa.string())]
+    track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", ranges)])
+    kinds += [("tracks", pa.list_(track)), ("error", pa.string())]
     schema = pa.schema(kinds)
     return map_batches(media.select("doc_id", "n_bytes", "media"), make, f"{text}, {INDEX}, error string")
 
@@ -233,7 +248,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Every text as a container, and what reading it back gives: sizes and digests of payload and container, and the
     index as a feature string. Null texts count as empty (one frame of zeros); equal texts have equal values; repeated rows
     give repeated results, no rows none."""
-    found = index_media(media_column(docs), digests=True)
+    found = index_media(media_column(docs), digests=True).withColumn("track", F.try_element_at("tracks", F.lit(1)))
+    found = found.select("*", "track.*").drop("track", "tracks")
     first, last = F.try_element_at("keyframes", F.lit(1)), F.try_element_at("keyframes", F.lit(-1))
     feature = F.format_string("codec=%s timescale=%d duration=%d samples=%d keyframes=%d first=%d-%d last=%d-%d", F.trim("codec"), "timescale", "duration", "n_samples", F.size("keyframes"), first["start"], first["end"], last["start"], last["end"])
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", (F.col("duration") / F.col("timescale")).alias("seconds"), "keyframes")

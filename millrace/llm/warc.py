@@ -2,8 +2,9 @@
 
 Pages become WARC/1.1 records, each a gzip member; the members of a task follow one another in segments of bounded size, and
 concatenated segments are a valid .warc.gz file. Every segment carries a run of the index, sorted by URL key and
-time. The index is merged externally: runs are dealt out by ranges of the key, and the parts of a range are
-merged with a loser tree, which gives capture histories in global order.
+time. The index is merged externally: runs are dealt out by ranges of the key, as many as keep a range's size bounded, and the parts of
+a range, which come one run after the other, are merged with a loser tree that reads them row by row from their column batches.
+This gives capture histories in global order.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import bound_batches, materialise
 
 #: Bytes after which a segment is closed, and the level of compression.
 SEGMENT_BYTES, LEVEL = 4_000_000, 1
+#: Captures of a range of the merge (some 300 bytes each).
+RANGE_ROWS = 200_000
 #: Pages without a time of capture get this one plus page_id seconds.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -190,19 +193,36 @@ def merge_runs(runs: list[Iterator[tuple]], order: Callable[[tuple], tuple]) ->
         replay(top)
 
 
-def merge_index(index: DataFrame) -> DataFrame:
-    """The captures in the order of URL key, time and id: sorted within and across partitions."""
+def _rows(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run, of which only one batch at a time is made into Python objects."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """The batches of each run; rows come by segment, so a run is where the segment stays the same."""
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
+    for batch in batches:
+        names = batch.column(7).to_pylist()
+        cut = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cut, cut[1:]):
+            if a == b:
+                continue
+            if not runs or names[a] != last:
+                runs.append([])
+            last = names[a]
+            runs[-1].append(batch.slice(a, b - a))
+    return runs
+
+
+def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The captures in the order of URL key, time and id: sorted within and across partitions, each of about range_rows rows. Rows that are
+    equal in all three stand in the order of segment and offset; null ids come first; no rows give none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[7], []).append(row)
-        for rows in runs.values():
-            if any(_order(a) > _order(b) for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort(key=_order)  # blocks of a run can arrive in any order
         out: list[tuple] = []
-        for row in merge_runs([iter(r) for r in runs.values()], _order):
+        for row in merge_runs([_rows(r) for r in _runs(batches)], _order):
             out.append(row)
             if len(out) == 10_000:
                 yield _captures(out)
@@ -210,8 +230,11 @@ def merge_index(index: DataFrame) -> DataFrame:
         if out:
             yield _captures(out)
 
-    # page_id splits a host or URL that has very many captures
-    return index.repartitionByRange("url_key", "captured", "page_id").mapInArrow(run, CAPTURE)
+    bound_batches(index.sparkSession)
+    ranges = max(index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // range_rows))
+    # page_id splits a host or URL that has very many captures; rows of one run arrive in any order and are put in its own again
+    dealt = index.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("segment", "url_key", "captured", F.asc_nulls_first("page_id"), "offset")
+    return dealt.mapInArrow(run, CAPTURE)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -162,7 +162,7 @@ def test_media_index(spark):
     assert track.payload(memoryview(data)) == payload
     assert all(data[a:b] == payload[i * 1024 : i * 1024 + 64] for i, (a, b) in enumerate(track.ranges()))
     bad = spark.createDataFrame([(1, 0, bytearray(data[:100])), (2, 0, None), (3, 0, bytearray(b""))], "doc_id long, n_bytes long, media binary")
-    assert all(r["error"] and r["codec"] is None for r in isomedia.index_media(bad, digests=True).collect())
+    assert all(r["error"] and r["tracks"] is None for r in isomedia.index_media(bad, digests=True).collect())
 
 
 # 5

@@ -1,7 +1,7 @@
 """Chat transcripts: recover the speakers' roles with a hidden Markov model and render canonical turns.
 
 A transcript's lines are the observations. Each line gives features: the speaker marker at its start ("User:", "### Assistant",
-"Q." ...), whether it begins a message, its length, its marks. The states are the roles, at the first line of a turn or
+"Q." ...), whether it begins a message, its length, its marks, and at a message's first line the message's lines and size. The states are the roles, at the first line of a turn or
 later. Probabilities are counted from labelled turns; roles are recovered by Viterbi.
 
 Messages lie in partitions by ranges of (conversation, turn), so a long conversation is cut into stretches. Viterbi is a
@@ -12,6 +12,7 @@ these are chained, and each stretch is traced back between its known ends. The r
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -35,17 +36,17 @@ _WORD = {word: role for role, words in MARKERS.items() for word in words.split()
 _MARKER = re.compile(r"\s*(?:<\|(?:im_start\|>)?\s*|\[|#{1,6}\s*|\*{1,2}|>\s*)?([A-Za-z]{1,12})\s*(?:\|>|\]|\*{1,2})?\s*(?:[:.>\-]|$)\s*(?:\*{1,2})?")
 _LINE = re.compile(r"\r\n|\r|\n")
 ROLES = ("assistant", "system", "user")
-_FEATURES = ("marker", "first", "length", "end", "start")
+_FEATURES = ("marker", "first", "length", "end", "start", "lines", "size")
 #: Added to each count.
 SMOOTHING = 1.0
 
 
-def features(line: str, first: bool) -> tuple[str, ...]:
-    """One value of each feature."""
+def features(line: str, first: bool, count: int = 1, size: int = 0) -> tuple[str, ...]:
+    """One value of each feature. count and size are the lines and characters of the message, which its first line stands for."""
     m = _MARKER.match(line)
     role = _WORD.get(m[1].lower()) if m and m[1] else None
     text = line.strip()
-    return (role or "none", str(first), str(len(text).bit_length()), "?" if text.endswith("?") else "." if text.endswith((".", "!")) else "-", "U" if text[:1].isupper() else "d" if text[:1].isdigit() else "o")
+    return (role or "none", str(first), str(len(text).bit_length()), "?" if text.endswith("?") else "." if text.endswith((".", "!")) else "-", "U" if text[:1].isupper() else "d" if text[:1].isdigit() else "o", str(min(count, 12)) if first else "-", str(int(3 * math.log2(size + 1))) if first else "-")
 
 
 def lines(text: str | None) -> list[str]:
@@ -59,8 +60,8 @@ class Model:
     emit: dict[tuple[int, str], np.ndarray]  # (feature, value) -> states
     rare: list[np.ndarray]  # of each feature, for values never counted
 
-    def emission(self, line: str, first: bool) -> np.ndarray:
-        return sum(self.emit.get((i, v), self.rare[i]) for i, v in enumerate(features(line, first)))
+    def emission(self, line: str, first: bool, count: int = 1, size: int = 0) -> np.ndarray:
+        return sum(self.emit.get((i, v), self.rare[i]) for i, v in enumerate(features(line, first, count, size)))
 
 
 #: State 2r: the first line of a turn of role r; 2r + 1: a later one.
@@ -106,7 +107,7 @@ def train(messages: DataFrame) -> Model:
                     n["step", before[1], str(2 * r)] += 1
             opened, before = True, (conv, None if r is None else 2 * r + (len(own) > 1))
             for i, line in enumerate(own if r is not None else ()):
-                for k, v in enumerate(features(line, i == 0)):
+                for k, v in enumerate(features(line, i == 0, len(own), len(text or ""))):
                     n["emit", 2 * r + (i > 0), f"{k}:{v}"] += 1
                 if i:
                     n["step", 2 * r + (i > 1), str(2 * r + 1)] += 1
@@ -172,7 +173,11 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None,
 
 
 def _emissions(model: Model, rows: list[tuple]) -> list[np.ndarray]:
-    return [model.emission(line, i == 0) for row in rows for i, line in enumerate(lines(row[3]))]
+    out = []
+    for row in rows:
+        own = lines(row[3])
+        out += [model.emission(line, i == 0, len(own), len(row[3] or "")) for i, line in enumerate(own)]
+    return out
 
 
 def _borders(messages: DataFrame, model: Model) -> dict[tuple[int, str], tuple[np.ndarray | None, int | None]]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, key_texts, map_batches, materialise
+from millrace.llm.common import Scratch, fresh, key_texts, map_batches, materialise
 
 #: Words of a window, and words of an item that must be met (all of a shorter item).
 WINDOW, MIN_WORDS = 8, 13
@@ -302,6 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, with all columns, whose text contains no item of benchmark (as contaminated() finds), repeated ones and
     those with null or empty texts or without doc_id as well."""
-    gone = materialise(_found(docs, benchmark, window, min_words).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__digest"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti").select(*docs.columns)
+    own_id, own_digest = fresh(docs, "id_of"), fresh(docs, "digest_of")
+    gone = materialise(_found(docs, benchmark, window, min_words).select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_digest))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches, give_back, key_texts, map_batches, materialise
+from millrace.llm.common import Scratch, bound_batches, fresh, give_back, key_texts, map_batches, materialise
 from millrace.llm.components import components
 
 #: The screen's part of the hash space, as a multiple of the largest share of own shingles; sets of up to SMALL are counted whole.
@@ -427,6 +427,7 @@ def keep_representatives(docs: DataFrame, width: int = 3, percent: int = 90) ->
     several texts of the smallest doc_id in one component one stays. Of rows that repeat both one stays. Rows without words
     stay but for repeated ones, rows without doc_id all stay.
     """
+    names = [f"`{c}`" for c in docs.columns]
     found = materialise(_labelled(docs, width, percent))
     again = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     n = again.count()
@@ -436,13 +437,13 @@ def keep_representatives(docs: DataFrame, width: int = 3, percent: int = 90) ->
         twice = found.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "doc_id", "left_semi").filter("component_id = doc_id AND n_shingles > 0")
         least = twice.groupBy("doc_id").agg(F.min("digest").alias("least"))
         gone = gone.select("doc_id", "digest").unionByName(twice.join(least, "doc_id").filter("digest <> least").select("doc_id", "digest"))
-    gone = materialise(gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__digest"))
-    kept = docs.join(_small(gone), same, "left_anti").select(*docs.columns)
+    own_id, own_digest = fresh(docs, "id_of"), fresh(docs, "digest_of")
+    gone = materialise(gone.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest)).distinct())
+    same_id = F.col("doc_id").cast("long") == F.col(own_id)
+    kept = docs.join(_small(gone), same_id & (F.xxhash64(F.col("text").cast("string")) == F.col(own_digest)), "left_anti").select(*names)
     if n == 0:
         return kept
-    again = again.select(F.col("doc_id").alias("__id"))
+    again = again.select(F.col("doc_id").alias(own_id))
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(again, same_id, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same_id, "left_anti").select(*names).unionByName(once.select(*names))

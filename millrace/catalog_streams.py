@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from millrace import catalog, catalog_files, sinks
 from millrace.functions import text
-from millrace.plans import batch
+from millrace.plans import batch, classify
 from millrace.registry import query, t
 from millrace.scratch import Scratch
 from millrace.sources import files
@@ -217,3 +218,23 @@ def fan_out_reports(spark, sf):
         own = spark.read.parquet(f"{out}/{name}").drop("batch")
         found = own if found is None else found.unionByName(own)
     return found
+
+
+@query("SELECT CAST(label AS DOUBLE) AS label, count(*) AS n, true AS predicted FROM embeddings GROUP BY 1")
+def predicted_on_upload(spark, sf):
+    """An uploaded LibSVM file sets off a job that writes a saved model's predictions beside it; other names do nothing."""
+    inbox, work, out = place(spark), place(spark), place(spark)
+    own = catalog_files.digits(spark, sf)
+    classify.save(classify.train(own, (5,), (32,), (1,)), work, spark)
+    size = own.select(F.size(vector_to_array("features"))).first()[0]
+    sinks.write_libsvm(own, f"{inbox}/digits", single=True)
+    sinks.write_libsvm(own.limit(3), f"{inbox}/temporary", single=True)
+
+    def submit(frame, batch_id):
+        for name in sorted({r["name"].split("/")[0] for r in windows.wanted(frame, without="temporary").filter(~F.col("name").contains("/_")).collect()}):
+            classify.predict_job(spark, f"{work}/model", f"{inbox}/{name}", f"{out}/{name}", size)
+
+    for run in windows.fan_out(lambda: files.upload_events(spark, inbox, "inbox", "part-*"), {"predict": submit}, place(spark)).values():
+        ran(run)
+    found = files.csv_typed(spark, f"{out}/*", "label double, prediction double, probability_str string")
+    return found.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.col("prediction").isNotNull() & F.col("probability_str").startswith("[")).alias("predicted"))

@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.files import libsvm
+
 
 @dataclass
 class Trained:
@@ -61,3 +63,8 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+
+
+def predict_job(spark: SparkSession, model: str, source: str, target: str, n_features: int | None = None) -> None:
+    """What an upload sets off: predictions of a saved model for a LibSVM file, as CSV under target, which is replaced."""
+    predict(load(model), libsvm(spark, source, n_features)).write.mode("overwrite").option("header", True).csv(target)

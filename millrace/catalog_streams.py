@@ -232,7 +232,7 @@ def predicted_on_upload(spark, sf):
 
     def submit(frame, batch_id):
         for name in sorted({r["name"].split("/")[0] for r in windows.wanted(frame, without="temporary").filter(~F.col("name").contains("/_")).collect()}):
-            classify.predict_job(spark, f"{work}/model", f"{inbox}/{name}", f"{out}/{name}", size)
+            classify.predict_job(spark, work, f"{inbox}/{name}", f"{out}/{name}", size)
 
     for run in windows.fan_out(lambda: files.upload_events(spark, inbox, "inbox", "part-*"), {"predict": submit}, place(spark)).values():
         ran(run)

@@ -28,9 +28,9 @@ PER_LANGUAGE, DIM = 300, 1 << 13
 POOL = 4
 #: Training rows at most: with many languages each gives fewer, and one at least as long as there are no more languages than this.
 TOTAL_ROWS = 30_000
-#: From so many letters on a text whose score is less than FLOOR times the least that any training text of so many letters has is in none
-#: of the learned languages.
-FLOOR_LETTERS, FLOOR = 10, 0.8
+#: From so many letters on a text that is less than FLOOR times as near to its predicted language (cosine of its profile and the mean of
+#: the language's) as the farthest training text of so many letters is in none of the learned languages.
+FLOOR_LETTERS, FLOOR = 10, 0.6
 #: Families of ISO 639-1 codes; a code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -89,13 +89,18 @@ class Model:
     families: list[str]
     family: np.ndarray  # a row of weights for each family
     pairs: list[tuple[str, str, np.ndarray]]  # positive margins speak for the first
-    floor: float = 0.0  # the least score of a text that is in one of the languages
+    means: np.ndarray | None = None  # the mean profile of each language, as a unit vector
+    floor: float = 0.0  # the least nearness of a text that is in its predicted language
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
         return self.decide(profile(text))
 
+    def near(self, own: np.ndarray, lang: str) -> float:
+        """How near a profile is to a language, 0 to 1."""
+        return 1.0 if self.means is None else float(self.means[self.languages.index(lang)] @ own)
+
     def decide(self, own: np.ndarray) -> tuple[str, float]:
         """The language of a profile, and how sure it is."""
         x = np.append(own, np.float32(1))
@@ -165,9 +170,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             if family_of(a) == family_of(b):
                 mine = (y == a) | (y == b)
                 pairs.append((a, b, fit_svm(x[mine], np.where(y[mine] == a, 1, -1).astype(np.float32))))
-    model = Model(languages, families, family, pairs)
-    scores = [model.decide(v)[1] for v, r in zip(x, sample, strict=True) if r["many"]]
-    model.floor = FLOOR * min(scores, default=0.0)
+    means = np.array([x[y == k].mean(axis=0) for k in languages])
+    model = Model(languages, families, family, pairs, means / np.linalg.norm(means, axis=1, keepdims=True))
+    model.floor = FLOOR * min((model.near(v, model.decide(v)[0]) for v, r in zip(x, sample, strict=True) if r["many"]), default=0.0)
     return model
 
 
@@ -188,22 +193,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(key_texts(docs), make, "doc_id long, lang_pred string, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, languages: Collection[str] | None = None, min_score: float | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, languages: Collection[str] | None = None, min_score: float = 0.0) -> DataFrame:
     """The rows of docs, with all columns, whose text is in one of the languages (all learned ones by default).
 
-    Texts of no language go: null, empty or without letters, and those of FLOOR_LETTERS letters or more whose score is less than
-    min_score (by default the model's floor). So do texts in other languages than the given ones. Where nothing was learned, all texts
-    with letters stay. Repeated rows stay or go together; no rows give none; columns may have any names.
+    Texts of no language go: null, empty or without letters, and those of FLOOR_LETTERS letters or more that are less near to the
+    language predicted for them than the model's floor (other scripts, random letters) or whose score is less than min_score. So do
+    texts in other languages than the given ones. Where nothing was learned, all texts with letters stay. Repeated rows stay or go together; no rows give none; columns may have any names.
     """
 
     bound_batches(docs.sparkSession)
     wanted = None if languages is None else frozenset(languages)
-    least = model.floor if min_score is None else min_score
 
     @F.arrow_udf("boolean")
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([_passes(model, wanted, least, t.as_py()) for t in texts], pa.bool_())
+            yield pa.array([_passes(model, wanted, min_score, t.as_py()) for t in texts], pa.bool_())
         give_back()
 
     kept = fresh(docs, "kept")
@@ -215,5 +219,6 @@ def _passes(model: Model, languages: frozenset[str] | None, least: float, text:
         return False
     if not model.languages:
         return True
-    lang, score = model.predict(text)
-    return (languages is None or lang in languages) and (score >= least or not many_letters(text))
+    own = profile(text)
+    lang, score = model.decide(own)
+    return (languages is None or lang in languages) and (not many_letters(text) or score >= least and model.near(own, lang) >= model.floor)

@@ -42,7 +42,7 @@ def test_total_bounds_the_sample(spark, monkeypatch):
 
 
 def test_awkward_tables_pass_the_stage(spark):
-    rows = [(1, None, None, 1), (1, None, None, 1), (2, "", "en", 1), (None, "some words here", "en", 2), (4, "ü" * 30_000, "de", 3), (4, "ü" * 30_000, "de", 3)]
+    rows = [(1, None, None, 1), (1, None, None, 1), (2, "", "en", 1), (None, "ü" * 40, "en", 2), (4, "ü" * 30_000, "de", 3), (4, "ü" * 30_000, "de", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int")
     got = corpus_pipeline.language(spark, df, DATA)
     assert got.columns == df.columns and sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 4, 4]
